@@ -12,7 +12,8 @@ reruns agree.
 Rounding: within a source, documents stand in order of size, then of a bucket of their id, then
 of their id, and document i gets the whole numbers between the running sums of rates before and
 after it. Neighbours differ little in size, so a source's words miss its target by about one
-document. Running sums start from the table of cells (source, size, bucket), so no task sorts a
+document; of ``PHASES`` starting points of the running sum, the one that misses least is taken.
+Running sums start from the table of cells (source, size, bucket), so no task sorts a
 whole source; a hot cell spreads over ``BUCKETS`` buckets.
 
 Only the table of sources is gathered on the driver (one row each; more than ``MAX_SOURCES`` is
@@ -36,6 +37,7 @@ from marlstone.llm.words import SPACE, Alphabet, Words, buffers, slices
 CAP = 3
 MAX_SOURCES = 100_000
 BUCKETS = 64
+PHASES = 64
 _UNIT = 1 << 30
 _ROUNDS = 60
 
@@ -142,7 +144,23 @@ def mix(docs: DataFrame, weights=(1, 2, 3)) -> DataFrame:
     )
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("doc_id"))
     ranked = rows.withColumn("rank", rank.cast("bigint"))
-    out = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
-    run = "(before_size + cast((ahead + rank - {}) * rate as decimal(38,0)) + {}BD) div {}BD"
-    copies = F.expr(f"{run.format(0, _UNIT // 2, _UNIT)} - {run.format(1, _UNIT // 2, _UNIT)}")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).cast("bigint").alias("taken"))
+    placed = ranked.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("bucket") == F.col("b")))
+    # all that matters of the running sum before a document is its part below one copy
+    at = F.expr(f"cast((before_size + cast((ahead + rank - 1) * rate as decimal(38,0))) % {_UNIT}BD as bigint)")
+    placed = checkpointed(placed.select("doc_id", "source", "size", "source_size", "target", "rate", at.alias("at")))
+    best = _phases(placed, target)
+    out = placed.join(_table(spark, {s: (u,) for s, u in best.items()}, "s string, phase bigint"), F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("phase"))).cast("bigint").alias("taken"))
+
+
+def _copies(phase):
+    """Whole numbers between the running sums before and after a document, both moved by ``phase``."""
+    below = (F.col("at") + phase) % F.lit(_UNIT) + F.col("rate") % F.lit(_UNIT)
+    return F.shiftright("rate", 30) + F.when(below >= _UNIT, 1).otherwise(0)
+
+
+def _phases(placed: DataFrame, target: dict) -> dict:
+    """For each source the phase, of ``PHASES`` evenly spaced ones, whose words are nearest to the target."""
+    phases = [_UNIT * k // PHASES for k in range(PHASES)]
+    sums = placed.groupBy("source").agg(*[F.sum(F.col("size") * _copies(F.lit(u))).alias(f"w{k}") for k, u in enumerate(phases)]).collect()
+    return {r["source"]: min(phases, key=lambda u, r=r: abs(r[f"w{u * PHASES // _UNIT}"] - target[r["source"]])) for r in sums}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontaminate, exact_dedup, html, mixing, sharding
+from marlstone.llm import chat, decontaminate, exact_dedup, html, mixing, quality, sharding, toxicity
 from marlstone.llm.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(read(spark, sf_dir, "pages"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).read().select("doc_id", "shard")
 
@@ -28,6 +32,10 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.flag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -36,7 +44,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_segments(read(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op4_sharding, op6_exact_dedup, op7_mixing, op9_decontamination, op10_chat_formatting)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_quality, op4_sharding, op6_exact_dedup, op7_mixing, op8_toxicity, op9_decontamination, op10_chat_formatting)}
 
 _OP6 = r"""
 WITH t AS (

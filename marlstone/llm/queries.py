@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.llm import chat, decontaminate, exact_dedup, html, mixing, near_join, quality, sharding, toxicity
+from marlstone.llm import chat, decontaminate, exact_dedup, html, mixing, near_join, quality, sharding, substrings, toxicity
 from marlstone.llm.session import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents")).read().select("doc_id", "shard")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_segments(read(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_quality, op3_jaccard_join, op4_sharding, op6_exact_dedup, op7_mixing, op8_toxicity, op9_decontamination, op10_chat_formatting)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_html_extraction, op2_quality, op3_jaccard_join, op4_sharding, op5_substring_dedup, op6_exact_dedup, op7_mixing, op8_toxicity, op9_decontamination, op10_chat_formatting)}
 
 _OP6 = r"""
 WITH t AS (

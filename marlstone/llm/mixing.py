@@ -153,6 +153,17 @@ def mix(docs: DataFrame, weights=(1, 2, 3)) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("phase"))).cast("bigint").alias("taken"))
 
 
+def apply(docs: DataFrame, weights=(1, 2, 3)) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    Rows without words are never taken. Rows that repeat a doc_id get equal shares, rounded.
+    """
+    share = F.round(F.sum(F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0)) / F.count("*")).cast("int")
+    times = mix(docs, weights).groupBy(F.col("doc_id").alias("__id")).agg(share.alias("__times")).filter("__times > 0")
+    rows = docs.join(times, F.col("doc_id").cast("bigint").eqNullSafe(F.col("__id")))
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _copies(phase):
     """Whole numbers between the running sums before and after a document, both moved by ``phase``."""
     below = (F.col("at") + phase) % F.lit(_UNIT) + F.col("rate") % F.lit(_UNIT)

@@ -247,8 +247,7 @@ def _verified(passing: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
         rows = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
         yield list(rows.columns)
 
-    ids = checkpointed(passing.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    chosen = _ids(passing.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     found = checkpointed(map_batches(texts.join(chosen, F.col("doc_id") == F.col("id"), "left_semi"), sets, "doc_id bigint, elements binary"))
     side = lambda k, name: found.select(F.col("doc_id").alias(f"id_{k}"), F.col("elements").alias(name))
     rows = passing.join(side("a", "x"), F.col("a") == F.col("id_a")).join(side("b", "y"), F.col("b") == F.col("id_b")).select("a", "b", "x", "y")
@@ -336,6 +335,18 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
 
 
 def distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the smallest id of their component, or have none."""
-    gone = join(docs, words, percent).filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """The rows of ``docs``, all columns, without those that link to a smaller id; one of rows that repeat a doc_id."""
+    found = checkpointed(join(docs, words, percent))
+    gone = _ids(found.filter("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct())
+    again = _ids(found.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1 and __id is not null").select("__id"))
+    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, kept["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, kept["doc_id"] == F.col("__id"), "left_anti").unionByName(once)
+
+
+def _ids(ids: DataFrame) -> DataFrame:
+    """Ids computed once; marked for a broadcast if there are few enough."""
+    ids = checkpointed(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

@@ -45,7 +45,7 @@ from marlstone.llm.words import SPACE, U64, Alphabet, Words, buffers, joined, mi
 
 WORDS, PERCENT = 5, 80
 N2, K2 = 2, 1
-GROWTH = 1.5
+GROWTH = 1.35
 SALTS = 16
 GROUP = 2048
 SKETCH_BITS = 4096
@@ -69,7 +69,7 @@ def bands(percent: int, up_to: int) -> tuple[tuple[int, int, int, int], ...]:
         spare = 0
         for _ in range(3):  # first-level parts with an empty subset, as a set of the smallest size expects
             mean = (need + spare) * N2 * math.exp(-low / ((need + spare) * N2))
-            spare = 0 if need * N2 <= 4 else math.ceil(mean + 2 * math.sqrt(mean)) // N2
+            spare = 0 if need * N2 <= 4 else math.ceil(mean + 2 * math.sqrt(mean))
         out.append((low, high, need + spare, spare))
         low = high + 1
     return tuple(out)

@@ -24,7 +24,8 @@ of near copies costs rows in proportion to its members. No step gathers rows on
 
 Defined cases: null and empty texts and texts without words have an empty set and link with
 nothing; a text of fewer words than n is one n-gram of all its words; rows that repeat a doc_id
-are one node whose texts may differ; a null doc_id is a node of its own without links; an empty
+are one node whose texts may differ; a row with null doc_id links with nothing and has a
+null component; an empty
 table gives an empty result; other columns are ignored (``join``) or kept (``distinct``).
 """
 
@@ -331,7 +332,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
             parts = checkpointed(components(links.unionByName(further)))
     by_rep = copies.join(parts, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("component", "rep").alias("of_copy"))
     out = salted.join(salts(by_rep), [*keys, "salt"], "left").join(parts, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("of_copy", "component", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_copy", "component", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
 def distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

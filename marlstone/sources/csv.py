@@ -12,6 +12,7 @@ import csv
 import re
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,8 +69,10 @@ def read(spark: SparkSession, path: str, columns: list[Column], header: bool = F
 def _reading(action):
     try:
         return action()
-    except PySparkException as e:
-        raise CsvError("Failed to read CSV record") from e
+    except (PySparkException, Py4JJavaError) as e:
+        if "FAILED_READ_FILE" in str(e) or "MALFORMED" in str(e):
+            raise CsvError("Failed to read CSV record") from e
+        raise
 
 
 def _number(name: str):

@@ -92,7 +92,9 @@ def tilts(cells: DataFrame, size_of: dict, target: dict) -> dict[str | None, tup
         if n and target[s] < CAP * n:
             state[s] = [0.0, -math.inf, math.inf]
     done: dict = {s: (math.inf if n and target[s] > 0 else 0.0, 1.0) for s, n in size_of.items() if s not in state}
-    scale = {r["source"]: float(r["s"]) for r in cells.groupBy("source").agg((F.sum(F.col("size") * F.col("size") * F.col("docs")) / F.sum(F.col("size") * F.col("docs"))).alias("s")).collect()}
+    words = F.col("size") * F.col("docs")
+    mean = F.sum(F.col("size") * words) / F.greatest(F.sum(words), F.lit(1))  # size of a word's document
+    scale = {r["source"]: max(1.0, float(r["s"])) for r in cells.groupBy("source").agg(mean.alias("s")).collect()}
     for _ in range(_ROUNDS):
         if not state:
             break

@@ -318,7 +318,7 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     copies = checkpointed(known.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").drop("top"))
     salts = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    extra = salted.join(salts(copies), [*keys, "salt"]).filter("doc_id != rep").select(F.col("doc_id").alias("id"))
+    extra = _ids(salted.join(salts(copies), [*keys, "salt"]).filter("doc_id != rep").select(F.col("doc_id").alias("id")))
     signed = signatures(texts.filter("doc_id is not null"), words, percent).join(extra, F.col("doc_id") == F.col("id"), "left_anti")
     members = checkpointed(_shared(signed.select(F.explode("signs").alias("sign"), F.col("doc_id").alias("doc"))))
     stars = members.filter("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()

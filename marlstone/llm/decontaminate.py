@@ -145,9 +145,9 @@ def _occurrences(column: pa.Array, groups: list[Patterns]):
 
 
 def _search(docs: DataFrame, benchmark: DataFrame, window: int, limit: int, text: str = "text") -> DataFrame:
-    """``docs`` with columns __n, __spans, __items from all blocks of the benchmark."""
+    """``docs`` with columns __n, __spans, __items, __full (a whole window occurs) from all blocks of the benchmark."""
     context = docs.sparkSession.sparkContext
-    out = docs.select("*", F.lit(0).cast("bigint").alias("__n"), F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"))
+    out = docs.select("*", F.lit(0).cast("bigint").alias("__n"), F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"), F.lit(False).alias("__full"))
     names, schema = out.columns, out.schema
 
     def step(df: DataFrame, tables) -> DataFrame:
@@ -162,7 +162,9 @@ def _search(docs: DataFrame, benchmark: DataFrame, window: int, limit: int, text
                     items += i
                 new_spans = [(a or b"") + b"".join(x.astype(np.int64).tobytes() for x in b) if a or b else None for a, b in zip(old_spans, spans, strict=True)]
                 new_items = [sorted(b.union(a or ())) if a or b else None for a, b in zip(old_items, items, strict=True)]
+                full = [a or any((x[:, 1] == window).any() for x in b) for a, b in zip(batch.column(at["__full"]).to_pylist(), spans, strict=True)]
                 columns = list(batch.columns)
+                columns[at["__full"]] = pa.array(full, pa.bool_())
                 columns[at["__n"]] = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
                 columns[at["__spans"]] = pa.array(new_spans, pa.binary())
                 columns[at["__items"]] = pa.array(new_items, pa.list_(pa.string()))
@@ -205,6 +207,10 @@ def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold windows of fewer than ``min_items`` items."""
+    """The rows of ``docs``, all columns, without those that hold a whole window, or pieces of ``min_items`` items.
+
+    An item shorter than a window may occur by chance, so one alone doesn't condemn a document.
+    """
     found = _search(docs, benchmark, window, block_bytes)
-    return found.filter(F.coalesce(F.size("__items"), F.lit(0)) < min_items).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = ~F.col("__full") & (F.coalesce(F.size("__items"), F.lit(0)) < min_items)
+    return found.filter(keep).select(*[F.col(f"`{c}`") for c in docs.columns])

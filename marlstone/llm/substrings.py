@@ -197,7 +197,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     by_doc = rows.repartition(*KEY)
     lengths = ladder(window)
-    taking = by_doc.join(copies.filter("not lead"), KEY, "left_anti")
+    # not an anti join: Spark would move that below the exchange, which then could not be shared
+    taking = by_doc.join(copies, KEY, "left").filter("lead is null or lead").select(*KEY, "text")
     places = _level(taking, lengths, 0)
     for level in range(1, len(lengths)):
         places = _level(by_doc.join(places, KEY), lengths, level)

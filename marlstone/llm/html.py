@@ -39,6 +39,8 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form menu
 _BOILER = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments respond disqus cookie cookies consent gdpr footer foot header masthead menu navbar nav navigation newsletter notice notices popup modal promo promoted promotion related recommended share sharing social sidebar side skip sponsor sponsored subscribe subscription toolbar widget widgets login signup paywall pagination pager".split()
 )
+#: Of these, words that mark nothing inside an article or main element.
+_IN_MAIN = frozenset("header head side".split())
 #: Elements that an opening tag closes when they are open (HTML's implied end tags).
 _CLOSES = {t: frozenset(("p", "head")) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()}
 _CLOSES |= {"body": frozenset(("head",)), "li": frozenset(("li", "p")), "dt": frozenset(("dt", "dd", "p")), "dd": frozenset(("dt", "dd", "p")), "tr": frozenset(("tr", "td", "th", "p")), "td": frozenset(("td", "th", "p")), "th": frozenset(("td", "th", "p")), "option": frozenset(("option",))}
@@ -57,7 +59,7 @@ def _boiler(tag: str, attrs, main: int) -> bool:
             return True
         if k in ("class", "id") and tag not in ("html", "body", "article", "main"):
             words = _WORDS.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower())
-            if not _BOILER.isdisjoint(words) and not (main and set(words) & _BOILER <= {"header", "head"}):
+            if not _BOILER.isdisjoint(words) and not (main and set(words) & _BOILER <= _IN_MAIN):
                 return True
         if k == "style" and "display:none" in v.replace(" ", "").lower():
             return True

@@ -24,22 +24,25 @@ BLOCK = 1024
 
 
 def turns(conversations: DataFrame) -> DataFrame:
+    """Turns with their pair, side and position, one exchange by pair and turn number."""
     t = conversations.select(
         "conv_id",
         F.coalesce(F.col("turn"), F.lit(_LAST)).cast("bigint").alias("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
+        F.shiftright("conv_id", 1).alias("pair_id"),
+        F.pmod("conv_id", F.lit(2)).alias("side"),
     )
-    occ = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return t.withColumn("occ", occ.cast("bigint")).withColumn("pair_id", F.shiftright("conv_id", 1)).withColumn("side", F.pmod("conv_id", F.lit(2)))
+    occ = F.row_number().over(Window.partitionBy("pair_id", "turn", "side").orderBy("role", "text"))
+    return t.repartition("pair_id", "turn").withColumn("occ", occ.cast("bigint"))
 
 
 def preference_segments(conversations: DataFrame) -> DataFrame:
     """pair_id, conv_id, part, turn, occ, role, segment, loss for every turn; prompts once a pair."""
-    t = turns(conversations)
-    at = ["pair_id", "turn", "occ"]
-    side = lambda k, name: t.filter((F.col("side") == k) & F.col("pair_id").isNotNull()).select(*at, F.struct("conv_id", "role", "text").alias(name))
-    both = side(0, "a").join(side(1, "b"), at, "full")
+    known = turns(conversations.filter("conv_id is not null"))
+    # there is one row for each position and side, so the aggregate only puts both sides in one row
+    side = lambda k, name: F.max(F.when(F.col("side") == k, F.struct("conv_id", "role", "text"))).alias(name)
+    both = known.groupBy("pair_id", "turn", "occ").agg(side(0, "a"), side(1, "b"))
     same = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a.role") == F.col("b.role")) & (F.col("a.text") == F.col("b.text"))
     pairs = both.groupBy("pair_id").agg(
         F.min(F.when(~same, F.col("turn"))).alias("cut"),
@@ -58,7 +61,7 @@ def preference_segments(conversations: DataFrame) -> DataFrame:
     sides = lambda pa, pb: F.filter(F.array(F.when(F.col("a").isNotNull(), row("a", pa)), F.when(F.col("b").isNotNull(), row("b", pb))), lambda x: x.isNotNull())
     parts = F.when(~F.col("paired"), sides("unpaired", "unpaired")).when(before, F.array(row("a", "prompt"))).otherwise(sides("chosen", "rejected"))
     paired = joined.select("pair_id", "turn", "occ", F.explode(parts).alias("s")).select("pair_id", "turn", "occ", "s.*")
-    alone = t.filter(F.col("pair_id").isNull()).select("pair_id", "turn", "occ", "conv_id", F.lit("unpaired").alias("part"), "role", "text")
+    alone = turns(conversations.filter("conv_id is null")).select("pair_id", "turn", "occ", "conv_id", F.lit("unpaired").alias("part"), "role", "text")
     return paired.unionByName(alone).select(
         "pair_id",
         "conv_id",

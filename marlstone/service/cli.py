@@ -1,4 +1,4 @@
-"""``python -m marlstone serve`` runs the REST service; ``python -m marlstone inspect PATH`` describes a column file."""
+"""``python -m marlstone serve`` runs the REST service; ``inspect PATH`` describes a column file, ``validate URL`` checks a server."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from marlstone.operators import metrics
 from marlstone.plans.engine import Engine
 from marlstone.service.server import server
+from marlstone.service.validate import Validator
 from marlstone.sources import storage
 from marlstone.sources.catalog import Catalog
 from marlstone.types import ROW, project_supported
@@ -35,7 +36,15 @@ def main(argv: list[str] | None = None) -> int:
     serve.add_argument("--host", default="127.0.0.1")
     serve.add_argument("--ingest-root", help="only files below this folder may be loaded")
     commands.add_parser("inspect").add_argument("path")
+    validate = commands.add_parser("validate", help="check a running server against its description")
+    validate.add_argument("url", nargs="?", default="http://127.0.0.1:3000")
+    validate.add_argument("--csv", help="a file the server can read, of a number and a text in each row")
     options = parser.parse_args(argv)
+    if options.command == "validate":
+        check = Validator(options.url)
+        problems = check.run(options.csv)
+        print("\n".join([*problems, f"{check.checks} requests, {len(problems)} problems"]))
+        return int(bool(problems))
     spark = session()
     if options.command == "inspect":
         try:

@@ -8,6 +8,7 @@ import pytest
 from marlstone.plans.engine import Engine
 from marlstone.service.server import server
 from marlstone.service.spec import openapi
+from marlstone.service.validate import Validator, mismatches
 
 
 @pytest.fixture
@@ -23,6 +24,7 @@ def call(spark, catalog):
         data = answer.read()
         return answer.status, json.loads(data) if data and "json" in answer.headers["Content-Type"] else data
 
+    send.url = f"http://{http.server_address[0]}:{http.server_address[1]}"
     yield send
     http.shutdown()
     engine.close()
@@ -106,3 +108,18 @@ def _refs(x):
     elif isinstance(x, list):
         for v in x:
             yield from _refs(v)
+
+
+def test_validator(call, tmp_path):
+    (tmp_path / "v.csv").write_text("1,a\n2,b\n")
+    check = Validator(call.url)
+    assert check.run(str(tmp_path / "v.csv")) == [] and check.checks > 25
+
+
+def test_mismatches():
+    spec = openapi()
+    table = spec["components"]["schemas"]["Table"]
+    assert mismatches({"name": "t", "columns": [{"name": "a", "type": "INT64"}]}, table, spec) == []
+    assert mismatches({"name": 1, "columns": [{"name": "a", "type": "FLOAT", "x": 1}]}, table, spec) != []
+    assert mismatches({"columns": None}, table, spec) == ["$: 'name' is missing", "$.columns: NoneType instead of array"]
+    assert mismatches([{"rowCount": True, "columns": []}], spec["components"]["schemas"]["Result"], spec) != []

@@ -10,7 +10,8 @@ subset; all subsets are enumerated, so sets that link share a signature. A set a
 next band if its partner may fall there.
 
 An empty subset says nothing, so it gets no signature; ``n1`` has parts to spare for that. A set
-with more empty subsets than spare parts signs again under another seed: two such sets would both.
+with too few parts without empty subsets signs again under another seed: of two sets that might miss
+each other, both do. The layout (``n2``, ``k2``) of a band is chosen by its expected signatures.
 
 Steps:
 1. Fingerprint every text; equal sets become one representative (the smallest id).
@@ -45,8 +46,11 @@ from marlstone.llm.session import checkpointed, map_batches
 from marlstone.llm.words import SPACE, U64, Alphabet, Words, buffers, joined, mix, slices, windows
 
 WORDS, PERCENT = 5, 80
-N2, K2 = 2, 1
-GROWTH = 1.35
+#: Second-level parts of a first-level part, and how many of them a subset leaves out.
+LAYOUTS = ((1, 0), (2, 1), (3, 1))
+#: A signature should stand for so many elements.
+ELEMENTS = 3
+GROWTH = 1.5
 SALTS = 16
 GROUP = 2048
 SKETCH_BITS = 4096
@@ -59,19 +63,36 @@ def differing(total: int, percent: int) -> int:
     return total - 2 * -(-percent * total // (100 + percent))
 
 
+def _parts(size: int, need: int, n2: int, k2: int) -> int | None:
+    """First-level parts of which ``need`` have no empty subset, in nearly all sets of ``size`` elements."""
+    n1 = need
+    while n1 <= 3 * need + 50:
+        blank = min(1.0, math.comb(n2, k2) * math.exp(-size * (n2 - k2) / (n1 * n2)))
+        if need == 1 or n1 * (1 - blank) - 2 * math.sqrt(n1 * blank * (1 - blank)) >= need:
+            return n1
+        n1 += max(1, n1 // 50)
+    return None
+
+
 @lru_cache
-def bands(percent: int, up_to: int) -> tuple[tuple[int, int, int, int], ...]:
-    """(smallest size, largest size, first-level parts, spare parts) of each band."""
+def bands(percent: int, up_to: int) -> tuple[tuple[int, int, int, int, int, int], ...]:
+    """(smallest size, largest size, n1, parts needed, n2, k2) of each band.
+
+    Of the layouts with enough elements in a signature, the one with the fewest signatures.
+    """
     out, low = [], 1
     while low <= up_to:
         high = max(low, int(low * GROWTH))
         k = max(differing(2 * high, percent), differing(2 * high - 1, percent))
-        need = k // (K2 + 1) + 1
-        spare = 0
-        for _ in range(3):  # first-level parts with an empty subset, as a set of the smallest size expects
-            mean = (need + spare) * N2 * math.exp(-low / ((need + spare) * N2))
-            spare = 0 if need * N2 <= 4 else math.ceil(mean + 2 * math.sqrt(mean))
-        out.append((low, high, need + spare, spare))
+        found = []
+        for n2, k2 in LAYOUTS if k else LAYOUTS[:1]:
+            need = k // (k2 + 1) + 1
+            n1 = _parts(-(-low * percent // 100), need, n2, k2)
+            if n1 is not None:
+                elements = (low + high) / 2 * (n2 - k2) / (n1 * n2)
+                found.append((elements < ELEMENTS, -elements if elements < ELEMENTS else n1 * math.comb(n2, k2), n1, need, n2, k2))
+        need = k + 1
+        out.append((low, high, *(min(found)[2:] if found else (need, need, 1, 0))))
         low = high + 1
     return tuple(out)
 
@@ -113,33 +134,33 @@ class Sets:
         found: list[list[np.ndarray]] = [[] for _ in self.sizes]
         if not len(self.values):
             return [np.zeros(0, U64) for _ in self.sizes]
-        for low, high, n1, spare in bands(percent, int(self.sizes.max()) * 100 // percent + 1):
+        for low, high, n1, need, n2, k2 in bands(percent, int(self.sizes.max()) * 100 // percent + 1):
             reach = self.sizes * 100 >= percent * low
             todo = np.flatnonzero((self.sizes > 0) & reach & (self.sizes <= high))
             for seed in range(16):
                 if not len(todo):
                     break
-                todo = self._sign(found, todo, U64(mix(np.array([high * 64 + seed], U64))[0]), n1, spare)
+                todo = self._sign(found, todo, U64(mix(np.array([high * 64 + seed], U64))[0]), n1, need, n2, k2)
             for t in todo:  # improbable: every seed left it with empty subsets
                 found[t].append(mix(np.array([high], U64)))
         return [np.concatenate(f) if f else np.zeros(0, U64) for f in found]
 
-    def _sign(self, found, todo: np.ndarray, seed: np.uint64, n1: int, spare: int) -> np.ndarray:
+    def _sign(self, found, todo: np.ndarray, seed: np.uint64, n1: int, need: int, n2: int, k2: int) -> np.ndarray:
         """Adds signatures of the sets ``todo``; returns those that need another seed."""
         place = np.full(len(self.sizes), -1, np.int64)
         place[todo] = np.arange(len(todo))
         mine = place[self.owner] >= 0
         x, at = self.values[mine], place[self.owner[mine]]
-        cells = n1 * N2
+        cells = n1 * n2
         cell = at * cells + ((mix(x ^ seed) >> U64(32)) * U64(cells) >> U64(32)).astype(np.int64)
         total = np.zeros(len(todo) * cells, U64)
         np.add.at(total, cell, mix(x + seed))
-        count = np.bincount(cell, minlength=len(total)).reshape(len(todo), n1, N2)
-        total = total.reshape(len(todo), n1, N2)
+        count = np.bincount(cell, minlength=len(total)).reshape(len(todo), n1, n2)
+        total = total.reshape(len(todo), n1, n2)
         first = np.arange(n1, dtype=U64)
         blank = np.zeros((len(todo), n1), bool)
         signs, full = [], []
-        for k, subset in enumerate(combinations(range(N2), N2 - K2)):
+        for k, subset in enumerate(combinations(range(n2), n2 - k2)):
             part = list(subset)
             signs.append(mix(total[:, :, part].sum(2, dtype=U64) ^ mix(seed + first * U64(64) + U64(k))[None, :]))
             full.append(count[:, :, part].sum(2) > 0)
@@ -147,7 +168,7 @@ class Sets:
         signs, full = np.concatenate(signs, 1), np.concatenate(full, 1)
         for i, t in enumerate(todo):
             found[t].append(signs[i][full[i]])
-        return todo[blank.sum(1) > spare]
+        return todo[n1 - blank.sum(1) < need]
 
 
 def _each_set(column: pa.Array, n: int):

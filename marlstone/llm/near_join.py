@@ -279,32 +279,42 @@ def _verified(passing: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
 def _across(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     """Pairs of members (sign, doc, pivot, component) of a signature in different components that pass.
 
-    Pivots are left out: each member has met its pivot. A signature of more than GROUP members is
-    cut in blocks, and each pair of blocks is a group of its own.
+    Pivots are left out: each member has met its pivot. Members in the pivot's component need not meet
+    each other, only the rest; both sides are cut in blocks of GROUP, and each pair of a main block and
+    a block of the rest, or of two blocks of the rest, is a group of its own.
     """
     rest = members.filter("doc != pivot").select("sign", "doc", "component")
-    mixed = rest.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low < high")
-    rows = rest.join(mixed.select("sign", F.ceil(F.col("size") / F.lit(GROUP)).cast("int").alias("blocks")), "sign")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("group", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).cast("bigint"))
+    at_pivot = F.max(F.when(F.col("doc") == F.col("pivot"), F.col("component")))
+    mains = members.groupBy("sign").agg(at_pivot.alias("main"))
+    counted = rest.join(mains, "sign").withColumn("in_main", F.col("component") == F.col("main")).drop("main")
+    blocks = lambda side: F.ceil(F.sum(F.when(side, 1).otherwise(0)) / F.lit(GROUP)).cast("int")
+    mixed = counted.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks(F.col("in_main")).alias("bm"), blocks(~F.col("in_main")).alias("bf"))
+    rows = counted.join(mixed.filter("low < high").select("sign", "bm", "bf"), "sign")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.when(F.col("in_main"), F.col("bm")).otherwise(F.col("bf"))).cast("int"))
+    own, bm, bf = F.col("own"), F.col("bm"), F.col("bf")
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda x: x < n)
+    place = lambda group, side: F.struct(group.cast("bigint").alias("group"), side.cast("int").alias("side"))
+    main = F.transform(upto(bf), lambda j: place(own * bf + j, F.lit(-1)))
+    other = F.transform(upto(bm), lambda i: place(i * bf + own, F.lit(-2)))
+    among = F.transform(upto(bf), lambda j: place(bm * bf + F.least(own, j) * bf + F.greatest(own, j), own))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("in_main"), main).otherwise(F.concat(other, among)))).select("sign", "at.group", "at.side", "doc", "component")
     rows = rows.join(prints.select(F.col("doc_id").alias("id"), "n", "sketch"), F.col("doc") == F.col("id"))
-    rows = rows.select("sign", "group", "own", "doc", "component", "n", "sketch").repartition("sign", "group").sortWithinPartitions("sign", "group")
+    rows = rows.select("sign", "group", "side", "doc", "component", "n", "sketch").repartition("sign", "group").sortWithinPartitions("sign", "group")
 
     def pairs(group):
-        own, doc, comp, n, sketch = group
+        side, doc, comp, n, sketch = group
         if len(set(comp)) < 2:
             return
         bits = 8 * min(len(s) for s in sketch)
         words = np.stack([_words(s, bits) for s in sketch])
-        own, doc, comp, n = (np.array(v) for v in (own, doc, comp, n))
-        cross = own.min() != own.max()
+        side, doc, comp, n = (np.array(v) for v in (side, doc, comp, n))
+        cross = side.min() != side.max()
         step = max(1, (1 << 20) // max(1, words.size))
         for i in range(0, len(doc), step):
             mine = slice(i, i + step)
             ok = (comp[mine, None] != comp[None, :]) & (doc[mine, None] < doc[None, :])
             if cross:
-                ok &= own[mine, None] != own[None, :]
+                ok &= side[mine, None] != side[None, :]
             r, c = np.nonzero(ok)
             differ = np.bitwise_count(words[r + i] ^ words[c]).sum(1, dtype=np.int64)
             hit = _may_link(n[r + i], n[c], differ, percent)

@@ -29,8 +29,8 @@ def class_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Characters of each class in each text."""
     n = len(offsets) - 1
     out = np.zeros((n, 12))
-    for at in range(int(offsets[0]), int(offsets[-1]), 4 * BLOCK):
-        cut = np.clip(offsets, at, at + 4 * BLOCK)
+    for at in range(int(offsets[0]), int(offsets[-1]), BLOCK):
+        cut = np.clip(offsets, at, at + BLOCK)
         text = np.repeat(np.arange(n) * 12, np.diff(cut))
         out += np.bincount(text + classes(raw[cut[0] : cut[-1]]), minlength=12 * n).reshape(n, 12)
     return out

@@ -38,6 +38,8 @@ from marlstone.llm.words import SPACE, U64, Alphabet, Words, buffers, mix, slice
 WINDOW = 35
 BASE = 20
 SALTS = 16
+#: Bytes of texts that are counted together before the shuffle.
+SLICE = 4 << 20
 _ALPHABET = Alphabet(SPACE, lower=False)
 _NO_ID = -(1 << 63)
 KEY = ["id", "k"]
@@ -131,7 +133,7 @@ def _level(rows: DataFrame, lengths: list[int], level: int) -> DataFrame:
 
     def each(batch):
         raw, offsets = buffers(batch.column("text"))
-        for first, last in slices(offsets):
+        for first, last in slices(offsets, SLICE):
             w = Words(raw, offsets[first : last + 1], _ALPHABET)
             owner = w.owner()
             if level == 0 and sampled:
@@ -180,7 +182,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     def fingerprint(batch):
         raw, offsets = buffers(batch.column("text"))
-        for first, last in slices(offsets):
+        for first, last in slices(offsets, SLICE):
             w = Words(raw, offsets[first : last + 1], _ALPHABET)
             place = np.arange(len(w.hashes)) - np.repeat(w.bounds[:-1], w.counts)
             out = []
@@ -207,7 +209,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def finish(batch):
         raw, offsets = buffers(batch.column("text"))
         copy = batch.column("copy").fill_null(False).to_numpy(zero_copy_only=False)
-        for first, last in slices(offsets):
+        for first, last in slices(offsets, SLICE):
             w = Words(raw, offsets[first : last + 1], _ALPHABET)
             gone = _covered(w, w.owner(), _places(batch, first, last, w), window) | np.repeat(copy[first:last], w.counts)
             removed, sha = [], []

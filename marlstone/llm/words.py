@@ -3,7 +3,7 @@
 The operators that look at words never build Python strings for them: a column of texts is
 read as one run of UTF-8 bytes, words are found with a byte table, and each word becomes a
 64-bit hash (a polynomial over a random byte table, differences of a running sum). Work goes
-in blocks of about a megabyte cut at word boundaries, so memory doesn't follow the length of
+in blocks of a quarter megabyte cut at word boundaries, so memory doesn't follow the length of
 a text. Null and empty texts have no words.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _MULT = 0x9E3779B97F4A7C15 | 1
 
 

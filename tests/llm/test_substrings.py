@@ -30,7 +30,7 @@ def test_odd_texts(spark, window):
 
 def test_many_slices(spark, monkeypatch):
     """Passages shared within a slice, between slices, and both."""
-    monkeypatch.setattr(substrings, "slices", lambda offsets: ((i, min(i + 3, len(offsets) - 1)) for i in range(0, len(offsets) - 1, 3)))
+    monkeypatch.setattr(substrings, "slices", lambda offsets, limit: ((i, min(i + 3, len(offsets) - 1)) for i in range(0, len(offsets) - 1, 3)))
     texts = odd_texts(11)
     got = substrings.dedup(frame(spark, texts).repartition(3), 35).collect()
     assert sorted(tuple(r) for r in got) == brute(texts, 35)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.session import map_batches
+from marlstone.llm.session import bounded, map_batches
 from marlstone.llm.words import NOT_ALNUM, U64, Alphabet, Words, buffers, mix, slices
 
 WINDOW = 8
@@ -170,7 +170,7 @@ def _search(docs: DataFrame, benchmark: DataFrame, window: int, limit: int, text
                 columns[at["__items"]] = pa.array(new_items, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-        return df.mapInArrow(run, schema)
+        return bounded(df).mapInArrow(run, schema)
 
     blocks = list(_tables(benchmark, window, limit))
     for block in blocks or [[]]:

@@ -11,6 +11,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+BATCH_ROWS = 2_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +32,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold few enough rows that long texts fit in a worker.
+
+    A batch of Spark's default size holds tens of megabytes of text several times over, in the
+    executor and in its Python worker. A size that the user has chosen is left alone.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[list]], schema: str) -> DataFrame:
     """Applies ``each`` to every Arrow batch; it yields lists of columns (arrays or lists) in schema order."""
     parsed = _parse_datatype_string(schema)
@@ -40,4 +55,4 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[list]],
             for columns in each(batch):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return df.mapInArrow(run, parsed)
+    return bounded(df).mapInArrow(run, parsed)

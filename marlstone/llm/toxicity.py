@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from marlstone.llm import boost
 from marlstone.llm.profile import BAR, DIGIT, LINE, LOWER, OTHER, PUNCT, REST, SHOUT, STOP, SYMBOL, UPPER, class_counts, per_text
 from marlstone.llm.quality import SCORES, in_fold
-from marlstone.llm.session import checkpointed, map_batches
+from marlstone.llm.session import bounded, checkpointed, map_batches
 from marlstone.llm.words import NOT_ALNUM, U64, Alphabet, Words, buffers, mix, slices
 
 SAMPLE = 40_000
@@ -309,4 +309,4 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, thr
             p = model.score(batch.column(at))
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded(docs).mapInArrow(run, docs.schema)

@@ -22,12 +22,14 @@ Tests: a parity sketch of each set bounds the difference from below and rules ou
 exactly; the rest are verified on the sets themselves. Pairs are formed inside blocks of at most
 ``GROUP`` members, in tasks, and only those that pass the sketch leave the task, so a large group
 of near copies costs rows in proportion to its members. No step gathers rows on the driver.
+4. To count links (``linked``), all sets of a component meet each other in blocks, once each pair, on
+   the sets themselves; only the counts leave the task. Links never lie between components.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with
 nothing; a text of fewer words than n is one n-gram of all its words; rows that repeat a doc_id
 are one node whose texts may differ; a row with null doc_id links with nothing and has a
 null component; an empty
-table gives an empty result; other columns are ignored (``join``) or kept (``distinct``).
+table gives an empty result; other columns are ignored (``join``, ``linked``) or kept (``distinct``).
 """
 
 from __future__ import annotations
@@ -53,6 +55,9 @@ ELEMENTS = 3
 GROWTH = 1.5
 SALTS = 16
 GROUP = 2048
+#: Members and elements of a block of sets whose links are counted.
+COUNT_MEMBERS, COUNT_ELEMENTS = 1024, 1 << 20
+KEYS = ["h1", "h2", "n"]
 SKETCH_BITS = 4096
 #: Ids that may be broadcast to select texts for verification; beyond it they are joined.
 BROADCAST_IDS = 500_000
@@ -121,6 +126,13 @@ class Sets:
         run = np.r_[np.zeros(1, U64), np.cumsum(values)]
         return run[self.bounds[1:]] - run[self.bounds[:-1]]
 
+    def hashes(self) -> list[np.ndarray]:
+        """Two hashes of each set."""
+        return [self.sums(mix(self.values ^ seed)).view(np.int64) for seed in (U64(0), U64(0xC0FFEE))]
+
+    def elements(self) -> list[bytes]:
+        return [self.values[a:b].tobytes() for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)]
+
     def sketches(self) -> list[bytes]:
         """Parities of the elements in each of 64 to ``SKETCH_BITS`` cells, about two for an element."""
         bits = 1 << np.clip(np.ceil(np.log2(2 * np.maximum(self.sizes, 1))).astype(np.int64), 6, int(math.log2(SKETCH_BITS)))
@@ -180,7 +192,7 @@ def _each_set(column: pa.Array, n: int):
 def fingerprints(texts: DataFrame, n: int) -> DataFrame:
     def each(batch):
         for first, last, s in _each_set(batch.column("text"), n):
-            yield [batch.column("doc_id").slice(first, last - first), s.sizes, s.sums(mix(s.values)).view(np.int64), s.sums(mix(s.values ^ U64(0xC0FFEE))).view(np.int64), s.sketches()]
+            yield [batch.column("doc_id").slice(first, last - first), s.sizes, *s.hashes(), s.sketches()]
 
     return map_batches(texts, each, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary")
 
@@ -258,7 +270,7 @@ def _verified(passing: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
 
     def sets(batch):
         for first, last, s in _each_set(batch.column("text"), n):
-            yield [batch.column("doc_id").slice(first, last - first), [s.values[a:b].tobytes() for a, b in zip(s.bounds[:-1], s.bounds[1:], strict=True)]]
+            yield [batch.column("doc_id").slice(first, last - first), s.elements()]
 
     def each(batch):
         keep = []
@@ -340,16 +352,21 @@ def _across(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+
+
+def _salts(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def _found(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n, h1, h2, salt, component_id for every row of ``texts``."""
     prints = checkpointed(fingerprints(texts, words))
-    keys = ["h1", "h2", "n"]
     known = prints.filter("n > 0 and doc_id is not null")
-    copies = checkpointed(known.groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").drop("top"))
-    salts = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    copies = checkpointed(known.groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").drop("top"))
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    extra = _ids(salted.join(salts(copies), [*keys, "salt"]).filter("doc_id != rep").select(F.col("doc_id").alias("id")))
+    extra = _ids(salted.join(_salts(copies), [*KEYS, "salt"]).filter("doc_id != rep").select(F.col("doc_id").alias("id")))
     signed = signatures(texts.filter("doc_id is not null"), words, percent).join(extra, F.col("doc_id") == F.col("id"), "left_anti")
     members = checkpointed(_shared(signed.select(F.explode("signs").alias("sign"), F.col("doc_id").alias("doc"))))
     stars = members.filter("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
@@ -361,10 +378,102 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
         further = checkpointed(_verified(more, texts, words, percent))
         if not further.isEmpty():
             parts = checkpointed(components(links.unionByName(further)))
-    by_rep = copies.join(parts, F.col("rep") == F.col("node"), "left").select(*keys, F.coalesce("component", "rep").alias("of_copy"))
-    out = salted.join(salts(by_rep), [*keys, "salt"], "left").join(parts, F.col("doc_id") == F.col("node"), "left")
+    by_rep = copies.join(parts, F.col("rep") == F.col("node"), "left").select(*KEYS, F.coalesce("component", "rep").alias("of_copy"))
+    out = salted.join(_salts(by_rep), [*KEYS, "salt"], "left").join(parts, F.col("doc_id") == F.col("node"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of_copy", "component", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return out.select("doc_id", *KEYS, "salt", component.alias("component_id"))
+
+
+def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    return _found(_texts(docs), words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _links(side: np.ndarray, cross: bool, weight: np.ndarray, elements: list[bytes], percent: int) -> np.ndarray:
+    """For each set of a group the weights of the others, of the other side if ``cross``, that link with it."""
+    n = np.array([len(e) // 8 for e in elements], np.int64)
+    m, owner = len(n), np.repeat(np.arange(len(n)), n)
+    _, which, times = np.unique(np.frombuffer(b"".join(elements), U64), return_inverse=True, return_counts=True)
+    both = np.zeros((m, m), np.int64)
+    # elements that few sets hold: each pair of their holders
+    few = times[which] <= m // 8
+    order = np.flatnonzero(few)[np.argsort(which[few], kind="stable")]
+    held, by = which[order], owner[order]
+    for step in range(1, int(times[held].max(initial=1))):
+        same = np.flatnonzero(held[step:] == held[:-step])
+        np.add.at(both, (by[same], by[same + step]), 1)
+    both += both.T
+    # the others: products of incidence matrices
+    many = (times > max(1, m // 8)) & (times < m)
+    column = np.where(many, np.cumsum(many) - 1, -1)[which]
+    for low in range(0, int(many.sum()), 4096):
+        here = (column >= low) & (column < low + 4096)
+        part = np.zeros((m, min(4096, int(many.sum()) - low)), np.float32)
+        part[owner[here], column[here] - low] = 1
+        both += (part @ part.T).astype(np.int64)
+    both += int((times == m).sum())
+    ok = 100 * both >= percent * (n[:, None] + n[None, :] - both)
+    ok &= side[:, None] != side[None, :] if cross else ~np.eye(m, dtype=bool)
+    return ok @ weight
+
+
+def _counted(classes: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """h1, h2, n, others (rows of other sets that link) of the sets in components of several sets.
+
+    A component is cut in blocks; each block, and each pair of blocks, is a group of its own.
+    """
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(COUNT_MEMBERS), F.sum("n") / F.lit(COUNT_ELEMENTS))).cast("int")
+    several = _salts(classes.groupBy("component").agg(F.count("*").alias("m"), blocks.alias("blocks")).filter("m > 1").drop("m"))
+    members = checkpointed(classes.withColumn("salt", F.pmod(F.xxhash64(*KEYS), F.lit(SALTS)).cast("int")).join(several, ["component", "salt"]).drop("salt"))
+
+    def sets(batch):
+        for _, _, s in _each_set(batch.column("text"), words):
+            yield [*s.hashes(), s.sizes, s.elements()]
+
+    def run(batches):
+        held, key = [], None
+
+        def flush():
+            if held:
+                distinct = list({row[2:5]: row for row in held}.values())  # rows that repeat a doc_id
+                side, cross, h1, h2, n, weight, elements = zip(*distinct, strict=True)
+                counts = _links(np.array(side), cross[0], np.array(weight, np.int64), list(elements), percent)
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (h1, h2, n, counts)], names=["h1", "h2", "n", "others"])
+
+        for batch in batches:
+            for component, group, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (component, group) != key:
+                    yield from flush()
+                    held, key = [], (component, group)
+                held.append(tuple(row))
+        yield from flush()
+
+    chosen = _ids(members.select(F.col("rep").alias("id")).distinct())
+    found = map_batches(texts.join(chosen, F.col("doc_id") == F.col("id"), "left_semi"), sets, "h1 bigint, h2 bigint, n bigint, elements binary")
+    own = F.pmod(F.xxhash64(F.lit(1), *KEYS), F.col("blocks")).cast("int")
+    group = F.least("side", "other").cast("bigint") * F.col("blocks") + F.greatest("side", "other")
+    rows = members.withColumn("side", own).join(found, KEYS).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("component", group.alias("group"), "side", (F.col("side") != F.col("other")).alias("cross"), *KEYS, "weight", "elements").repartition("component", "group").sortWithinPartitions("component", "group")
+    return rows.mapInArrow(run, "h1 bigint, h2 bigint, n bigint, others bigint").groupBy(*KEYS).agg(F.sum("others").alias("others"))
+
+
+def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links for every row of ``docs``.
+
+    n_links counts the other rows with a doc_id whose sets reach the similarity, equal sets included.
+    """
+    texts = _texts(docs)
+    found = checkpointed(_found(texts, words, percent))
+    known = found.filter("n > 0 and doc_id is not null")
+    classes = checkpointed(known.groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.min("component_id").alias("component")))
+    others = _counted(classes, texts, words, percent)
+    n_links = F.col("weight") - 1 + F.coalesce("others", F.lit(0))
+    counts = checkpointed(classes.join(others, KEYS, "left").select(*KEYS, n_links.alias("n_links")).filter("n_links > 0"))
+    out = found.join(_salts(counts), [*KEYS, "salt"], "left")
+    n_links = F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", n_links.alias("n_links"))
+
+
 
 
 def distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

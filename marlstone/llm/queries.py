@@ -21,7 +21,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_join.join(read(spark, sf_dir, "documents"), words=4, percent=85)
+    return near_join.linked(read(spark, sf_dir, "documents"), words=4, percent=85)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,6 +61,27 @@ def test_repeated_and_null_ids(spark):
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 3, 9]
 
 
+def brute_links(texts, n, percent):
+    sets = [shingles(t, n) for t in texts]
+    near = lambda a, b: bool(a & b) and 100 * len(a & b) >= percent * len(a | b)
+    return [(*row, sum(near(s, t) for t in sets) - bool(s)) for row, s in zip(brute(texts, n, percent), sets, strict=True)]
+
+
+@pytest.mark.parametrize("n,percent,block,elements", [(4, 85, 1024, 1 << 20), (4, 85, 3, 1 << 20), (2, 50, 1024, 200)])
+def test_links_inside_components_are_counted(spark, monkeypatch, n, percent, block, elements):
+    monkeypatch.setattr(near_join, "COUNT_MEMBERS", block)
+    monkeypatch.setattr(near_join, "COUNT_ELEMENTS", elements)
+    texts = odd_texts() + chain()
+    got = near_join.linked(frame(spark, texts), n, percent).collect()
+    assert sorted(tuple(r) for r in got) == brute_links(texts, n, percent)
+
+
+def test_links_of_repeated_and_null_ids(spark):
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "A b c d e f"), (None, "a b c d e f"), (9, ""), (9, "z")]
+    got = near_join.linked(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(5, 3, 3, 2), (5, 3, 3, 2), (3, 3, 3, 2), (None, 3, None, 0), (9, 0, 9, 0), (9, 1, 9, 0)], key=repr)
+
+
 def test_empty_tables(spark):
     df = frame(spark, ["a b"])
     assert near_join.join(df.limit(0)).count() == 0 and near_join.distinct(df.limit(0)).count() == 0

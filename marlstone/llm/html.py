@@ -4,9 +4,9 @@ The standard library's streaming HTML parser turns a page into blocks (the "line
 text between tags of block elements, with white space made one space and references decoded. A
 block's text-to-tag ratio is its characters over the tags in it. Ratios along the page are
 smoothed with a Gaussian kernel; blocks above the threshold (a share of the standard deviation)
-form clusters, and the cluster with most text selects the content region: the article or main
-element around it if there is one, else the stretch from its first to its last block. All blocks
-of the region are the text, whatever their length, save those inside elements that never hold
+form clusters. If article or main elements hold at least half of the cluster with most text, the
+content region is all such elements of the page; else it is the stretch from the first to the last
+cluster, so a run of short blocks in the middle parts nothing. All blocks of the region are the text, whatever their length, save those inside elements that never hold
 content: navigation, headers and footers of the page, sidebars, notices, adverts, forms, reader
 comments, scripts and styles, by element, role, or words in class and id.
 
@@ -165,14 +165,10 @@ def main_text(html: str | None, sigma: float = SIGMA, threshold: float = THRESHO
     above = smooth >= min(threshold * smooth.std(), smooth.max())
     edge = np.flatnonzero(np.diff(np.r_[0, above.astype(int), 0]))
     first, last = max(zip(edge[::2], edge[1::2], strict=True), key=lambda r: size[r[0] : r[1]].sum())
-    weight: dict[int, float] = {}
-    for (_, _, _, main), n in zip(blocks[first:last], size[first:last], strict=True):
-        if main:
-            weight[main] = weight.get(main, 0) + n
-    if weight:
-        chosen = max(weight, key=weight.get)
-        return " ".join(t for t, _, _, main in blocks if main == chosen)
-    return " ".join(t for t, _, _, _ in blocks[first:last])
+    inside = np.array([main > 0 for _, _, _, main in blocks])
+    if 2 * size[first:last][inside[first:last]].sum() >= size[first:last].sum():
+        return " ".join(t for t, _, _, main in blocks if main)
+    return " ".join(t for t, _, _, _ in blocks[edge[0] : edge[-1]])
 
 
 def extract(pages: DataFrame) -> DataFrame:

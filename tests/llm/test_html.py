@@ -29,6 +29,24 @@ def test_page_without_semantic_elements():
     assert main_text(page) == " ".join(f"{LONG}{i}" for i in range(5))
 
 
+def test_short_blocks_in_the_middle_of_a_page_without_article():
+    paragraphs = [f"{LONG * 5}{i}" for i in range(18)]
+    items = [f"An item of the list, no {i:02}" for i in range(20)]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs[:10]) + "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>" + "".join(f"<p>{p}</p>" for p in paragraphs[10:])
+    page = f'<body><nav><a>Menu</a></nav><div class="post"><h1>Head</h1>{body}</div><div class="footer">end</div></body>'
+    assert main_text(page) == " ".join(["Head", *paragraphs[:10], *items, *paragraphs[10:]])
+
+
+def test_all_sibling_articles():
+    page = f"<body><nav><a>Menu</a></nav><article><p>{LONG * 3}</p></article><article><p>Short.</p></article><article><p>{LONG}</p></article><footer>end</footer></body>"
+    assert main_text(page) == f"{LONG * 3}Short. {LONG.strip()}"
+
+
+def test_small_article_before_the_text():
+    page = f"<body><article><p>A teaser.</p></article>{''.join(f'<p>{LONG}{i}</p>' for i in range(9))}</body>"
+    assert main_text(page) == "A teaser. " + " ".join(f"{LONG}{i}" for i in range(9))
+
+
 def test_inline_tags_do_not_part_words():
     assert main_text("<p>wo<b>rd</b> an<i>d</i>\n <a href=x>link</a>ed</p>") == "word and linked"
 

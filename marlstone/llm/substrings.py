@@ -20,11 +20,12 @@ document, and the levels share that exchange.
 Defined cases: a null text has no words; texts of fewer words than a window keep all; equal rows are
 copies of each other; rows that repeat a doc_id with other texts are documents of their own; null
 doc_ids are too; an empty table gives an empty result; other columns are ignored.
+
+``cut`` returns the texts that stay and the spans of words that go; ``digest`` makes counts and hashes of them.
 """
 
 from __future__ import annotations
 
-import hashlib
 from itertools import compress
 
 import numpy as np
@@ -43,7 +44,7 @@ SLICE = 4 << 20
 _ALPHABET = Alphabet(SPACE, lower=False)
 _NO_ID = -(1 << 63)
 KEY = ["id", "k"]
-KEPT = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
+CUT = "doc_id bigint, n_words bigint, removed array<struct<start:int,stop:int>>, kept string"
 
 
 def ladder(window: int) -> list[int]:
@@ -176,8 +177,31 @@ def _covered(w: Words, owner: np.ndarray, places: np.ndarray, window: int) -> np
     return np.cumsum(start)[:-1] > 0
 
 
+def _spans(gone: np.ndarray, w: Words) -> pa.ListArray:
+    """The runs of removed words of each text, as places of the first word and of the one after the last."""
+    head = np.zeros(len(gone) + 1, bool)
+    head[w.bounds] = True
+    start = np.flatnonzero(gone & (head[:-1] | ~np.r_[False, gone[:-1]]))
+    stop = np.flatnonzero(gone & (head[1:] | ~np.r_[gone[1:], False])) + 1
+    text = w.owner()[start]
+    bounds = np.r_[0, np.cumsum(np.bincount(text, minlength=len(w.counts)))].astype(np.int32)
+    places = [pa.array((x - w.bounds[text]).astype(np.int32)) for x in (start, stop)]
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(places, ["start", "stop"]))
+
+
+def digest(rows: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 for every row of ``cut``."""
+    n_removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, x: n + x["stop"] - x["start"])
+    return rows.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of ``docs``."""
+    return digest(cut(docs, window))
+
+
+def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """doc_id, n_words, removed (spans of words), kept (the other words, joined by spaces) for every row of ``docs``."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.hash("text").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
 
     def fingerprint(batch):
@@ -212,14 +236,12 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
         for first, last in slices(offsets, SLICE):
             w = Words(raw, offsets[first : last + 1], _ALPHABET)
             gone = _covered(w, w.owner(), _places(batch, first, last, w), window) | np.repeat(copy[first:last], w.counts)
-            removed, sha = [], []
+            kept = []
             for t in range(last - first):
                 words = raw[offsets[first + t] : offsets[first + t + 1]].tobytes().split()
-                cut = gone[w.bounds[t] : w.bounds[t + 1]]
-                n = int(cut.sum())
-                removed.append(n)
-                sha.append(hashlib.sha256(b" ".join(words if not n else compress(words, ~cut))).hexdigest())
+                part = gone[w.bounds[t] : w.bounds[t + 1]]
+                kept.append(b" ".join(compress(words, ~part) if part.any() else words))
             ids = pa.array([None if i == _NO_ID else i for i in batch.column("id").slice(first, last - first).to_pylist()], pa.int64())
-            yield [ids, w.counts, removed, sha]
+            yield [ids, w.counts, _spans(gone, w).to_pylist(), pa.array(kept, pa.binary()).view(pa.string())]
 
-    return map_batches(marked.select("id", "text", "copy", "places"), finish, KEPT)
+    return map_batches(marked.select("id", "text", "copy", "places"), finish, CUT)

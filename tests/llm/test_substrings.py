@@ -28,6 +28,18 @@ def test_odd_texts(spark, window):
     assert sorted(tuple(r) for r in got) == brute(texts, window)
 
 
+@pytest.mark.parametrize("window", [5, 35])
+def test_texts_and_spans(spark, window):
+    texts = odd_texts()
+    want = brute(texts, window)
+    for r in substrings.cut(frame(spark, texts), window).collect():
+        words = WORD.findall(texts[r["doc_id"]] or "")
+        gone = {i for s in r["removed"] for i in range(s["start"], s["stop"])}
+        assert all(a["stop"] < b["start"] for a, b in zip(r["removed"], r["removed"][1:]))
+        assert r["kept"] == " ".join(x for i, x in enumerate(words) if i not in gone)
+        assert (r["doc_id"], r["n_words"], len(gone), hashlib.sha256(r["kept"].encode()).hexdigest()) == want[r["doc_id"]]
+
+
 def test_many_slices(spark, monkeypatch):
     """Passages shared within a slice, between slices, and both."""
     monkeypatch.setattr(substrings, "slices", lambda offsets, limit: ((i, min(i + 3, len(offsets) - 1)) for i in range(0, len(offsets) - 1, 3)))

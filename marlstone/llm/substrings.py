@@ -157,7 +157,7 @@ def _level(rows: DataFrame, lengths: list[int], level: int) -> DataFrame:
             pick = pa.array(text + first)
             yield [one, two, batch.column("id").take(pick), batch.column("k").take(pick), place, weight]
 
-    counted = map_batches(rows, each, "key1 bigint, key2 bigint, id bigint, k int, place int, weight int")
+    counted = map_batches(rows, each, "key1 bigint, key2 bigint, id bigint, k bigint, place int, weight int")
     total = F.sum("weight").over(Window.partitionBy("key1", "key2"))
     return counted.withColumn("total", total).filter("total > 1").groupBy(*KEY).agg(F.collect_list("place").alias("places"))
 
@@ -202,7 +202,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, removed (spans of words), kept (the other words, joined by spaces) for every row of ``docs``."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.hash("text").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
 
     def fingerprint(batch):
         raw, offsets = buffers(batch.column("text"))
@@ -216,7 +216,7 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             part = batch.slice(first, last - first)
             yield [part.column("id"), part.column("k"), w.counts, *out]
 
-    prints = checkpointed(map_batches(rows, fingerprint, "id bigint, k int, n bigint, f1 bigint, f2 bigint").filter(F.col("n") >= window))
+    prints = checkpointed(map_batches(rows, fingerprint, "id bigint, k bigint, n bigint, f1 bigint, f2 bigint").filter(F.col("n") >= window))
     same = ["f1", "f2", "n"]
     groups = prints.groupBy(*same).agg(F.count("*").alias("c"), F.min("id").alias("rep")).filter("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     copies = checkpointed(prints.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(groups, [*same, "salt"]).select(*KEY, (F.col("id") == F.col("rep")).alias("lead")).distinct())

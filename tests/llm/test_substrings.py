@@ -58,5 +58,12 @@ def test_repeated_and_null_ids(spark):
     assert sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in got), key=repr) == sorted([(1, 5, 5), (1, 5, 5), (1, 3, 0), (None, 4, 4), (None, 5, 4), (2, 0, 0)], key=repr)
 
 
+def test_null_ids_whose_texts_share_a_32_bit_hash(spark):
+    df = spark.createDataFrame([(None, "p16914 a b c"), (None, "q291467 d"), (1, "a b c")], "doc_id long, text string")
+    assert df.selectExpr("hash(text)").distinct().count() == 2
+    got = substrings.cut(df, 3).collect()
+    assert sorted((r["n_words"], r["kept"], [tuple(s) for s in r["removed"]]) for r in got) == [(2, "q291467 d", []), (3, "", [(0, 3)]), (4, "p16914", [(1, 4)])]
+
+
 def test_empty_table(spark):
     assert substrings.dedup(frame(spark, ["a"]).limit(0)).count() == 0

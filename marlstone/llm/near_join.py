@@ -40,7 +40,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
@@ -366,7 +366,11 @@ def _found(texts: DataFrame, words: int, percent: int) -> DataFrame:
     known = prints.filter("n > 0 and doc_id is not null")
     copies = checkpointed(known.groupBy(*KEYS).agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").drop("top"))
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    extra = _ids(salted.join(_salts(copies), [*KEYS, "salt"]).filter("doc_id != rep").select(F.col("doc_id").alias("id")))
+    one = F.struct(*KEYS)
+    # ids with several sets sign them all: of a copy's id only the copied set could be left to the representative
+    several = _ids(known.groupBy(F.col("doc_id").alias("node")).agg((F.min(one) != F.max(one)).alias("several")).filter("several").select("node"))
+    extra = salted.join(_salts(copies), [*KEYS, "salt"]).filter("doc_id != rep").select(F.col("doc_id").alias("id"))
+    extra = _ids(extra.join(several, F.col("id") == F.col("node"), "left_anti"))
     signed = signatures(texts.filter("doc_id is not null"), words, percent).join(extra, F.col("doc_id") == F.col("id"), "left_anti")
     members = checkpointed(_shared(signed.select(F.explode("signs").alias("sign"), F.col("doc_id").alias("doc"))))
     stars = members.filter("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
@@ -477,14 +481,15 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 def distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that link to a smaller id; one of rows that repeat a doc_id."""
+    """The rows of ``docs``, all columns, without those that link to a smaller id; the longest of rows that repeat a doc_id."""
     found = checkpointed(join(docs, words, percent))
     gone = _ids(found.filter("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct())
     again = _ids(found.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1 and __id is not null").select("__id"))
     kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(again, kept["doc_id"] == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
+    once = kept.join(again, kept["doc_id"] == F.col("__id"), "left_semi").withColumn("__at", F.row_number().over(order)).filter("__at = 1").drop("__at")
     return kept.join(again, kept["doc_id"] == F.col("__id"), "left_anti").unionByName(once)
 
 

@@ -82,6 +82,15 @@ def test_links_of_repeated_and_null_ids(spark):
     assert sorted((tuple(r) for r in got), key=repr) == sorted([(5, 3, 3, 2), (5, 3, 3, 2), (3, 3, 3, 2), (None, 3, None, 0), (9, 0, 9, 0), (9, 1, 9, 0)], key=repr)
 
 
+def test_texts_of_one_id_are_one_node(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, near), (7, near + " z"), (8, "q r s t u"), (8, "q"), (8, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_join.linked(df, 4, 85).collect())
+    assert got == [(1, 3, 1, 1), (5, 3, 1, 1), (5, 57, 1, 1), (7, 58, 1, 1), (8, 0, 8, 0), (8, 1, 8, 0), (8, 2, 8, 0)]
+    assert sorted(tuple(r) for r in near_join.distinct(df, 4, 85).collect()) == [(1, "a b c d e f"), (8, "q r s t u")]
+
+
 def test_empty_tables(spark):
     df = frame(spark, ["a b"])
     assert near_join.join(df.limit(0)).count() == 0 and near_join.distinct(df.limit(0)).count() == 0

@@ -47,6 +47,43 @@ def test_small_article_before_the_text():
     assert main_text(page) == "A teaser. " + " ".join(f"{LONG}{i}" for i in range(9))
 
 
+@pytest.mark.parametrize("name", ['class="related-work"', 'class="social-history"', 'id="notice-of-race"', 'class="side-effects intro"'])
+def test_names_of_sections_inside_an_article(name):
+    page = f"<body><nav><a>Menu</a></nav><article><h1>Head</h1><p>{LONG * 3}</p><section {name}><h2>Part</h2><p>{LONG}</p></section><div class='related-posts'><p>{LONG * 2}</p></div></article></body>"
+    assert main_text(page) == f"Head {LONG * 3}Part {LONG.strip()}"
+
+
+@pytest.mark.parametrize("wrapper", ["form", 'div class="page-header-menu-layout"', 'div id="sidebar-left"'])
+def test_marked_wrappers_of_the_whole_page(wrapper):
+    body = f"<h1>Head</h1><p>{LONG * 3}</p><p>{LONG}</p>"
+    for inner in (body, f"<article>{body}</article>"):
+        page = f"<body><{wrapper}><nav><a>Menu</a></nav>{inner}<div class='ad'><p>Buy</p></div></{wrapper.split()[0]}></body>"
+        assert main_text(page) == f"Head {LONG * 3}{LONG.strip()}"
+
+
+def test_links_between_two_clusters():
+    links = "".join(f'<p><a href="/{i}">l{i}</a> <a>x</a> <a>y</a></p>' for i in range(30))
+    page = f"<body><article><p>{LONG * 5}</p>{links}<p>{LONG * 4}</p></article></body>"
+    assert main_text(page).startswith(LONG * 5) and main_text(page).endswith((LONG * 4).strip()) and "l15 x y" in main_text(page)
+
+
+def test_smoothing_and_threshold_select():
+    short = "".join(f"<li><a>go {i}</a>" for i in range(12))
+    page = f"<body><ul>{short}</ul><p>{LONG * 4}</p><p>{LONG * 5}</p><ul>{short}</ul></body>"
+    assert main_text(page, sigma=0.5, threshold=2.0) == (LONG * 9).strip()
+    assert "go 11" in main_text(page, threshold=0.0) and len(main_text(page, sigma=8.0)) > len(main_text(page, sigma=0.5, threshold=2.0))
+
+
+def test_given_pages_with_div_for_article():
+    for row in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        assert main_text(row["html"].replace("<article>", "<div>").replace("</article>", "</div>")) == main_text(row["html"])
+
+
+def test_deep_nesting_is_linear():
+    page = "<p><div>" + "<b>" * 50_000 + "<hr>" * 50_000 + f"<p>{LONG}" + "</i>" * 50_000 + "<div class=ad>" * 20_000 + "x" + "</div>" * 20_000 + LONG
+    assert main_text(page) == (LONG * 2).strip()
+
+
 def test_inline_tags_do_not_part_words():
     assert main_text("<p>wo<b>rd</b> an<i>d</i>\n <a href=x>link</a>ed</p>") == "word and linked"
 

@@ -3,26 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-
-BATCH_ROWS = 2_000
+#: Limits of an Arrow batch, in rows and bytes: it lies in the executor and in its Python worker, with copies.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+#: Rows of a few numbers that may be broadcast, after they were counted.
+FEW = 500_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of an application of the operators (their queries, the pipeline), whose session gets the limits of ``BATCH``.
+
+    Operators leave a session as it is. A limit that the user has set stays.
+    """
+    for key, value in BATCH.items():
+        if (spark.conf.get(key, "1"), spark.conf.get(key, "2")) == ("1", "2"):
+            spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and all runs on one machine (tests), a folder of our own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="marlstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="marlstone-"))
     return context.getCheckpointDir()
 
 
@@ -32,16 +46,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded(df: DataFrame) -> DataFrame:
-    """``df``, in a session whose Arrow batches hold few enough rows that long texts fit in a worker.
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, of which later steps read some columns only."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    A batch of Spark's default size holds tens of megabytes of text several times over, in the
-    executor and in its Python worker. A size that the user has chosen is left alone.
-    """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if conf.get(key) == "10000":
-        conf.set(key, str(BATCH_ROWS))
-    return df
+
+def few(df: DataFrame, limit: int = FEW) -> tuple[DataFrame, int]:
+    """``df`` computed once, marked for a broadcast if it has at most ``limit`` rows, and how many it has."""
+    df = checkpointed(df)
+    n = df.count()
+    return (F.broadcast(df) if n <= limit else df), n
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[list]], schema: str) -> DataFrame:
@@ -55,4 +82,4 @@ def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[list]],
             for columns in each(batch):
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return bounded(df).mapInArrow(run, parsed)
+    return df.mapInArrow(run, parsed)

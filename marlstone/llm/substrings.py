@@ -1,25 +1,33 @@
 """Substring deduplication by level-wise doubling of word windows.
 
 A window of ``window`` words that starts at two places makes every word it covers repeated. Windows
-are found level by level: short ones first, and only where windows of one length repeat are they
-extended to twice that length (the last step stops at ``window``), until none survive.
-
-Level 0 need not look at every short window. Of the short windows inside a window of the next
-length, the one with the smallest hash (the minimizer) is the same in every copy of the longer one,
-so only minimizers are counted, about a tenth of all positions. Later levels take every position
-whose parts survived. Below the last level a hash has 64 bits, where a collision costs a vain
-extension; the last level decides on 128 bits.
-
-Counting: each task first counts within its slice of texts. What repeats there is settled; one of
-its rows still goes to the count under the window's hash, to tell other slices, and the rest go
-under keys of their own, so a passage that a third of all documents hold spreads over all tasks.
-Documents whose words are equal throughout are settled by a fingerprint before all that: every word
-of them is repeated, and one of them takes part for the others. Texts are shuffled once, by
-document, and the levels share that exchange.
+are found level by level (9, 18 and 35 words): only where windows of one length repeat are they
+extended to twice that length, until ``window`` is reached or no candidate survives.
+
+Level 0 need not look at every short window. Of the short windows inside a long one, the one with
+the smallest hash is the same in every copy of the long one; only these anchors, about a tenth of all
+positions, are counted. The window of the next level reaches beyond its anchor on both sides by as
+much as a copy of the long window is sure to hold, so every level but the last has one window for each
+anchor. Their hashes are stored with the anchors, so no level but the last reads texts. These
+hashes have 64 bits, where a collision costs a vain extension; the last level takes every window whose
+anchor survived and decides on 128 bits.
+
+Counting. Below the last level a window repeats if the least and the largest hash of its places differ,
+an aggregate of two numbers that is combined before the shuffle; places in texts that are equal
+throughout count as one place. At the last level each slice of texts counts first: of rows that
+repeat in it, one goes on and the rest are settled. The others are counted under a salt, and one row
+of each salt goes on to the count under the window's hash alone, so a passage that a third of all
+documents hold makes ``PIECES`` rows there at most.
+Documents whose words are equal throughout are settled by a fingerprint: every word of them is
+repeated, and one of them takes part in the last level for the others.
+
+Rows are told apart by a 128-bit hash of id and text. Texts are shuffled once, by that key, and the
+last level and the result share the exchange.
 
 Defined cases: a null text has no words; texts of fewer words than a window keep all; equal rows are
-copies of each other; rows that repeat a doc_id with other texts are documents of their own; null
-doc_ids are too; an empty table gives an empty result; other columns are ignored.
+copies of each other; rows that repeat a doc_id, or have none, are documents of their own; a text of any
+length is hashed in slices, but its words (8 bytes each) stand in memory together; windows that tie are all
+removed; an empty table gives an empty result; other columns are ignored.
 
 ``cut`` returns the texts that stay and the spans of words that go; ``digest`` makes counts and hashes of them.
 """
@@ -33,17 +41,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.session import checkpointed, map_batches
+from marlstone.llm.session import checkpointed, few, map_batches, written
 from marlstone.llm.words import SPACE, U64, Alphabet, Words, buffers, mix, slices, windows
 
 WINDOW = 35
-BASE = 20
+#: The shortest windows have at most so many words; shorter ones repeat by chance in any large corpus.
+BASE = 9
 SALTS = 16
+PIECES = 64
 #: Bytes of texts that are counted together before the shuffle.
 SLICE = 4 << 20
 _ALPHABET = Alphabet(SPACE, lower=False)
-_NO_ID = -(1 << 63)
-KEY = ["id", "k"]
+KEY = ["k1", "k2"]
 CUT = "doc_id bigint, n_words bigint, removed array<struct<start:int,stop:int>>, kept string"
 
 
@@ -55,10 +64,20 @@ def ladder(window: int) -> list[int]:
     return out
 
 
+def reach(lengths: list[int]) -> list[int]:
+    """How many words before its anchor the window of each level but the last begins."""
+    out = [0] if len(lengths) > 1 else []
+    for a, b in zip(lengths, lengths[1:-1], strict=False):
+        out.append(out[-1] + (b - a) // 2)
+    return out
+
+
 def _sliding(x: np.ndarray, n: int, op) -> np.ndarray:
     """op over each run of n values."""
+    if len(x) < n:
+        return x[:0]
     done = 1
-    while done < n and len(x):
+    while done < n:
         step = min(done, n - done)
         x = op(x[: len(x) - step], x[step:])
         done += step
@@ -74,29 +93,20 @@ def _inside(owner: np.ndarray, n: int) -> np.ndarray:
     return owner[: len(owner) - n + 1] == owner[n - 1 :] if len(owner) >= n else np.zeros(0, bool)
 
 
-def _minima(hashes: np.ndarray, owner: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of windows of ``base`` words, and the least of those inside each window of ``length`` (0: no window)."""
-    short = windows(hashes, base)
-    least = _sliding(short, length - base + 1, np.minimum)
-    return short, np.where(_inside(owner, length), least, U64(0))
-
+def _least(hashes: np.ndarray, owner: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the shortest windows, the least of those that may be anchors of the long window at each word (0: none), and how many these are."""
+    left, span = reach(lengths)[-1], lengths[-1] - lengths[-2] + 1
+    short, inside = windows(hashes, lengths[0]), _inside(owner, lengths[-1])
+    return short, np.where(inside, _sliding(short[left:], span, np.minimum)[: len(inside)], U64(0)), span
 
-def _anchors(hashes, owner, base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and hashes of the minimizers."""
-    short, least = _minima(hashes, owner, base, length)
-    span = length - base + 1
-    pad = np.zeros(span - 1, U64)
-    top = _sliding(np.r_[pad, least, pad], span, np.maximum)  # over all windows that hold a position
-    at = np.flatnonzero((top[: len(short)] == short) & (top[: len(short)] > 0))
-    return at, short[at]
 
-
-def _alive(short: np.ndarray, owner: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """Positions whose window has the hash of one of the surviving places of its text."""
-    flag = np.zeros(len(short), bool)
-    flag[places] = True
-    pair = mix(short ^ mix(owner[: len(short)].astype(U64)))
-    return np.isin(pair, pair[flag]) if len(places) else flag
+def _anchors(hashes: np.ndarray, owner: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """The words at which anchors start."""
+    short, least, span = _least(hashes, owner, lengths)
+    left, pad = reach(lengths)[-1], np.zeros(span - 1, U64)
+    top = _sliding(np.r_[pad, least, pad], span, np.maximum) if len(least) else least  # over all long windows that hold a word
+    n = min(len(top), len(short) - left)
+    return np.flatnonzero((top[:n] == short[left : left + n]) & (top[:n] > 0)) + left if n > 0 else np.zeros(0, np.int64)
 
 
 def _rows(at: np.ndarray, one: np.ndarray, two: np.ndarray, w: Words, owner: np.ndarray):
@@ -122,50 +132,93 @@ def _rows(at: np.ndarray, one: np.ndarray, two: np.ndarray, w: Words, owner: np.
 
 
 def _places(batch: pa.RecordBatch, first: int, last: int, w: Words) -> np.ndarray:
-    """Positions in the slice of the surviving windows that column ``places`` lists."""
+    """Positions in the slice of the windows that column ``places`` lists."""
     lists = batch.column("places").slice(first, last - first)
     return (lists.flatten().to_numpy() + np.repeat(w.bounds[:-1], lists.value_lengths().fill_null(0).to_numpy())).astype(np.int64)
 
 
-def _level(rows: DataFrame, lengths: list[int], level: int) -> DataFrame:
-    """Documents with windows of level ``level`` that repeat: id, k, places (first place of each)."""
-    length = lengths[level]
-    base, sampled = lengths[0], len(lengths) > 1
+def described(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """k1, k2, n (words), f1, f2 (fingerprint of the words), anchors (place, and a hash for each level) of every row."""
+    left = reach(lengths)
+    names = [f"h{i}" for i in range(len(left))]
+    kind = pa.struct([("place", pa.int32()), *((h, pa.int64()) for h in names)])
 
     def each(batch):
         raw, offsets = buffers(batch.column("text"))
         for first, last in slices(offsets, SLICE):
             w = Words(raw, offsets[first : last + 1], _ALPHABET)
             owner = w.owner()
-            if level == 0 and sampled:
-                at, one = _anchors(w.hashes, owner, base, lengths[1])
-                two = np.zeros(len(at), U64)
-            else:
-                ok = _inside(owner, length)
-                if level:
-                    before, places = lengths[level - 1], _places(batch, first, last, w)
-                    if level == 1:
-                        short, least = _minima(w.hashes, owner, base, length)
-                        hit = mix(least ^ mix(owner[: len(least)].astype(U64)))
-                        ok &= np.isin(hit, mix(short[places] ^ mix(owner[places].astype(U64))))
-                    else:
-                        alive = _alive(windows(w.hashes, before), owner, places)
-                        ok &= alive[: len(ok)] & alive[length - before :][: len(ok)]
-                at = np.flatnonzero(ok)
-                one, two = windows(w.hashes, length)[at], _second(w.hashes, length)[at]
-            one, two, text, place, weight = _rows(at, one, two, w, owner)
+            place = np.arange(len(owner)) - w.bounds[owner]
+            prints = []
+            for seed in (U64(11), U64(22)):
+                run = np.r_[np.zeros(1, U64), np.cumsum(mix(w.hashes ^ mix(place.astype(U64) + seed)))]
+                prints.append((run[w.bounds[1:]] - run[w.bounds[:-1]]).view(np.int64))
+            at = _anchors(w.hashes, owner, lengths) if left else np.zeros(0, np.int64)
+            found = [pa.array(place[at].astype(np.int32)), *(pa.array(windows(w.hashes, n)[at - b].view(np.int64)) for n, b in zip(lengths, left, strict=False))]
+            bounds = np.r_[0, np.cumsum(np.bincount(owner[at], minlength=last - first))].astype(np.int32)
+            anchors = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(found, fields=list(kind)))
+            part = batch.slice(first, last - first)
+            yield [part.column("k1"), part.column("k2"), w.counts, *prints, anchors]
+
+    fields = ",".join(["place:int", *(f"{h}:bigint" for h in names)])
+    return map_batches(rows.select(*KEY, "text"), each, f"k1 bigint, k2 bigint, n bigint, f1 bigint, f2 bigint, anchors array<struct<{fields}>>")
+
+
+def candidates(table: DataFrame, lengths: list[int]) -> DataFrame | None:
+    """k1, k2, places of the anchors whose windows repeat on every level but the last; None if there are none."""
+    live = table.select(*KEY, "f1", F.explode("anchors").alias("a")).select(*KEY, "f1", "a.*")
+    for i in range(len(lengths) - 1):
+        place = F.xxhash64("f1", "place")
+        seen = live.groupBy(f"h{i}").agg(F.min(place).alias("least"), F.max(place).alias("most"))
+        alive, n = few(seen.filter("least < most").select(f"h{i}"))
+        if not n:
+            return None
+        live = live.join(alive, f"h{i}", "left_semi").drop(f"h{i}")
+        if i + 2 < len(lengths):
+            live = checkpointed(live)
+    return checkpointed(live.groupBy(*KEY).agg(F.collect_set("place").alias("places")))
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """k1, k2, places of the windows that start at two places, counted under salts first."""
+    near = Window.partitionBy("key1", "key2", "salt")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*KEY, "place"), F.lit(PIECES)).cast("int"))
+    rows = rows.withColumn("here", F.sum("weight").over(near)).withColumn("lead", F.row_number().over(near.orderBy(*KEY, "place")) == 1)
+    own = lambda key: F.when(F.col("lead"), F.col(key)).otherwise(F.xxhash64(key, *KEY, "place")).alias(key)
+    total = F.sum("here").over(Window.partitionBy("key1", "key2"))
+    rows = rows.select(own("key1"), own("key2"), *KEY, "place", "here").withColumn("total", total)
+    return rows.filter("total > 1").groupBy(*KEY).agg(F.collect_list("place").alias("places"))
+
+
+def _last(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """k1, k2, places of the long windows that repeat, of rows with the places of anchors (without these: of all)."""
+    window, anchored = lengths[-1], len(lengths) > 1
+
+    def each(batch):
+        raw, offsets = buffers(batch.column("text"))
+        for first, last in slices(offsets, SLICE):
+            w = Words(raw, offsets[first : last + 1], _ALPHABET)
+            owner = w.owner()
+            ok = _inside(owner, window)
+            if anchored:
+                places = _places(batch, first, last, w)
+                short, least, _ = _least(w.hashes, owner, lengths)
+                ok &= np.isin(mix(least ^ mix(owner[: len(least)].astype(U64))), mix(short[places] ^ mix(owner[places].astype(U64))))
+            at = np.flatnonzero(ok)
+            one, two, text, place, weight = _rows(at, windows(w.hashes, window)[at], _second(w.hashes, window)[at], w, owner)
             pick = pa.array(text + first)
-            yield [one, two, batch.column("id").take(pick), batch.column("k").take(pick), place, weight]
+            yield [one, two, *(batch.column(k).take(pick) for k in KEY), place, weight]
 
-    counted = map_batches(rows, each, "key1 bigint, key2 bigint, id bigint, k bigint, place int, weight int")
-    total = F.sum("weight").over(Window.partitionBy("key1", "key2"))
-    return counted.withColumn("total", total).filter("total > 1").groupBy(*KEY).agg(F.collect_list("place").alias("places"))
+    return _repeated(map_batches(rows, each, "key1 bigint, key2 bigint, k1 bigint, k2 bigint, place int, weight int"))
 
 
 def _covered(w: Words, owner: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
-    """Words in repeated windows: the listed ones, and those that repeat within a text."""
+    """Words in repeated windows: the listed ones, and equal ones of the same text."""
     start = np.zeros(len(owner) + 1, np.int64)
-    ok = np.flatnonzero(_inside(owner, window))
+    listed = np.zeros(len(w.counts), bool)
+    listed[owner[places]] = True
+    inside = _inside(owner, window)
+    ok = np.flatnonzero(inside & listed[owner[: len(inside)]])
     one, two = windows(w.hashes, window)[ok], _second(w.hashes, window)[ok]
     order = np.lexsort((two, one, owner[ok]))
     same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (owner[ok][order][1:] == owner[ok][order][:-1])
@@ -200,35 +253,32 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return digest(cut(docs, window))
 
 
+def row_keys(doc_id, text) -> list:
+    """A 128-bit hash of id and text, in two columns."""
+    return [F.xxhash64(F.lit(i), doc_id.isNull(), doc_id, text).alias(k) for i, k in enumerate(KEY)]
+
+
 def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, removed (spans of words), kept (the other words, joined by spaces) for every row of ``docs``."""
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-
-    def fingerprint(batch):
-        raw, offsets = buffers(batch.column("text"))
-        for first, last in slices(offsets, SLICE):
-            w = Words(raw, offsets[first : last + 1], _ALPHABET)
-            place = np.arange(len(w.hashes)) - np.repeat(w.bounds[:-1], w.counts)
-            out = []
-            for seed in (U64(11), U64(22)):
-                run = np.r_[np.zeros(1, U64), np.cumsum(mix(w.hashes ^ mix(place.astype(U64) + seed)))]
-                out.append((run[w.bounds[1:]] - run[w.bounds[:-1]]).view(np.int64))
-            part = batch.slice(first, last - first)
-            yield [part.column("id"), part.column("k"), w.counts, *out]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.select(*row_keys(F.col("doc_id"), F.col("text")), "doc_id", "text")
+    lengths = ladder(window)
 
-    prints = checkpointed(map_batches(rows, fingerprint, "id bigint, k bigint, n bigint, f1 bigint, f2 bigint").filter(F.col("n") >= window))
+    table = written(described(rows, lengths)).filter(F.col("n") >= window)
     same = ["f1", "f2", "n"]
-    groups = prints.groupBy(*same).agg(F.count("*").alias("c"), F.min("id").alias("rep")).filter("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    copies = checkpointed(prints.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(groups, [*same, "salt"]).select(*KEY, (F.col("id") == F.col("rep")).alias("lead")).distinct())
+    groups = table.groupBy(*same).agg(F.count("*").alias("c"), F.min("k1").alias("rep")).filter("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = table.select(*KEY, *same, F.pmod("k1", F.lit(SALTS)).cast("int").alias("salt"))
+    copies, _ = few(salted.join(groups, [*same, "salt"]).select(*KEY, (F.col("k1") == F.col("rep")).alias("lead")).distinct())
+    anchors = candidates(table, lengths) if len(lengths) > 1 else None
 
     by_doc = rows.repartition(*KEY)
-    lengths = ladder(window)
-    # not an anti join: Spark would move that below the exchange, which then could not be shared
-    taking = by_doc.join(copies, KEY, "left").filter("lead is null or lead").select(*KEY, "text")
-    places = _level(taking, lengths, 0)
-    for level in range(1, len(lengths)):
-        places = _level(by_doc.join(places, KEY), lengths, level)
-    marked = by_doc.join(copies.select(*KEY, F.lit(True).alias("copy")), KEY, "left").join(places, KEY, "left")
+    if anchors is None and len(lengths) > 1:  # no candidate is left
+        marked = rows.join(copies.select(*KEY, F.lit(True).alias("copy")), KEY, "left").withColumn("places", F.lit(None).cast("array<int>"))
+    else:
+        # not an anti join: Spark would move that below the exchange, which then could not be shared
+        taking = by_doc.join(copies, KEY, "left").filter("lead is null or lead")
+        taking = taking.join(anchors, KEY).select(*KEY, "doc_id", "text", "places") if anchors else taking.select(*KEY, "doc_id", "text")
+        marked = by_doc.join(copies.select(*KEY, F.lit(True).alias("copy")), KEY, "left").join(_last(taking, lengths), KEY, "left")
 
     def finish(batch):
         raw, offsets = buffers(batch.column("text"))
@@ -241,7 +291,6 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 words = raw[offsets[first + t] : offsets[first + t + 1]].tobytes().split()
                 part = gone[w.bounds[t] : w.bounds[t + 1]]
                 kept.append(b" ".join(compress(words, ~part) if part.any() else words))
-            ids = pa.array([None if i == _NO_ID else i for i in batch.column("id").slice(first, last - first).to_pylist()], pa.int64())
-            yield [ids, w.counts, _spans(gone, w).to_pylist(), pa.array(kept, pa.binary()).view(pa.string())]
+            yield [batch.column("doc_id").slice(first, last - first), w.counts, _spans(gone, w).to_pylist(), pa.array(kept, pa.binary()).view(pa.string())]
 
-    return map_batches(marked.select("id", "text", "copy", "places"), finish, CUT)
+    return map_batches(marked.select("doc_id", "text", "copy", "places"), finish, CUT)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import pytest
@@ -49,13 +50,38 @@ def test_many_slices(spark, monkeypatch):
 
 
 def test_ladder():
-    assert substrings.ladder(35) == [18, 35] and substrings.ladder(100) == [13, 25, 50, 100] and substrings.ladder(5) == [5]
+    assert substrings.ladder(35) == [9, 18, 35] and substrings.ladder(100) == [7, 13, 25, 50, 100] and substrings.ladder(5) == [5]
+    for window in range(10, 200):
+        lengths = substrings.ladder(window)
+        left = substrings.reach(lengths)
+        assert all(a < b <= 2 * a for a, b in zip(lengths, lengths[1:])) and len(left) == len(lengths) - 1
+        # the window of each level holds that of the level before
+        assert all(x <= y and a - x <= b - y for a, b, x, y in zip(lengths, lengths[1:], left, left[1:]))
+
+
+def test_levels_stop_when_nothing_repeats(spark):
+    texts = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(20)]
+    lengths, df = substrings.ladder(35), frame(spark, texts)
+    rows = df.select(*substrings.row_keys(df["doc_id"], df["text"]), "text")
+    assert substrings.candidates(substrings.described(rows, lengths), lengths) is None
+    assert {r["n_removed"] for r in substrings.dedup(df).collect()} == {0}
+    half = " ".join(f"w{i}" for i in range(17))  # repeats on the first level alone
+    again = [f"{t} {half} {t}x" for t in texts[:3]]
+    assert sorted(tuple(r) for r in substrings.dedup(frame(spark, again)).collect()) == brute(again, 35)
+
+
+def test_common_phrases_and_hot_passage(spark):
+    r = random.Random(5)
+    phrase, passage = " ".join(f"p{i}" for i in range(12)), " ".join(f"q{i}" for i in range(40))
+    words = lambda n: " ".join(f"v{r.randrange(9000)}" for _ in range(n))
+    texts = [f"{words(r.randrange(60))} {phrase} {words(r.randrange(60))} {passage if i % 3 == 0 else ''}" for i in range(300)]
+    assert sorted(tuple(x) for x in substrings.dedup(frame(spark, texts).repartition(7)).collect()) == brute(texts, 35)
 
 
 def test_repeated_and_null_ids(spark):
-    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "x y z"), (None, "q r s t"), (None, "u q r s t"), (2, None)]
+    rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "x y z"), (None, "q r s t"), (None, "u q r s t"), (2, None), (-(2**63), "k l m n"), (None, "k l m o")]
     got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
-    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in got), key=repr) == sorted([(1, 5, 5), (1, 5, 5), (1, 3, 0), (None, 4, 4), (None, 5, 4), (2, 0, 0)], key=repr)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in got), key=repr) == sorted([(1, 5, 5), (1, 5, 5), (1, 3, 0), (None, 4, 4), (None, 5, 4), (2, 0, 0), (-(2**63), 4, 3), (None, 4, 3)], key=repr)
 
 
 def test_null_ids_whose_texts_share_a_32_bit_hash(spark):

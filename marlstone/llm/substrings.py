@@ -8,25 +8,23 @@ Level 0 need not look at every short window. Of the short windows inside a long
 the smallest hash is the same in every copy of the long one; only these anchors, about a tenth of all
 positions, are counted. The window of the next level reaches beyond its anchor on both sides by as
 much as a copy of the long window is sure to hold, so every level but the last has one window for each
-anchor. Their hashes are stored with the anchors, so no level but the last reads texts. These
-hashes have 64 bits, where a collision costs a vain extension; the last level takes every window whose
-anchor survived and decides on 128 bits.
-
-Counting. Below the last level a window repeats if the least and the largest hash of its places differ,
-an aggregate of two numbers that is combined before the shuffle; places in texts that are equal
-throughout count as one place. At the last level each slice of texts counts first: of rows that
-repeat in it, one goes on and the rest are settled. The others are counted under a salt, and one row
-of each salt goes on to the count under the window's hash alone, so a passage that a third of all
-documents hold makes ``PIECES`` rows there at most.
+anchor. These levels use 64-bit hashes, where a collision costs a vain extension; the last level takes every
+window whose anchor survived and decides on 128 bits.
+
+Counting. Level 0 is a sum, combined before the shuffle. On later levels a window repeats if it has two
+places; places in texts that are equal throughout count as one. A task remembers the windows it has
+met: it sends one row of a window when it meets it first and one when it meets it again, and settles all
+further ones itself, so a passage that a third of all documents hold makes a few rows for each task.
+What is settled travels as runs of places and takes no part in counts.
 Documents whose words are equal throughout are settled by a fingerprint: every word of them is
 repeated, and one of them takes part in the last level for the others.
 
 Rows are told apart by a 128-bit hash of id and text. Texts are shuffled once, by that key, and the
-last level and the result share the exchange.
+last level and the result share the exchange; the levels before read them where they lie.
 
 Defined cases: a null text has no words; texts of fewer words than a window keep all; equal rows are
 copies of each other; rows that repeat a doc_id, or have none, are documents of their own; a text of any
-length is hashed in slices, but its words (8 bytes each) stand in memory together; windows that tie are all
+length is hashed in blocks, but its words (8 bytes each) stand in memory together; windows that tie are all
 removed; an empty table gives an empty result; other columns are ignored.
 
 ``cut`` returns the texts that stay and the spans of words that go; ``digest`` makes counts and hashes of them.
@@ -41,14 +39,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.session import checkpointed, few, map_batches, written
+from marlstone.llm.session import checkpointed, map_batches
 from marlstone.llm.words import SPACE, U64, Alphabet, Words, buffers, mix, slices, windows
 
 WINDOW = 35
 #: The shortest windows have at most so many words; shorter ones repeat by chance in any large corpus.
 BASE = 9
 SALTS = 16
-PIECES = 64
 #: Bytes of texts that are counted together before the shuffle.
 SLICE = 4 << 20
 _ALPHABET = Alphabet(SPACE, lower=False)
@@ -109,137 +106,197 @@ def _anchors(hashes: np.ndarray, owner: np.ndarray, lengths: list[int]) -> np.nd
     return np.flatnonzero((top[:n] == short[left : left + n]) & (top[:n] > 0)) + left if n > 0 else np.zeros(0, np.int64)
 
 
-def _rows(at: np.ndarray, one: np.ndarray, two: np.ndarray, w: Words, owner: np.ndarray):
-    """key1, key2, text, place, weight: a row for each distinct window of each text."""
-    text = owner[at]
-    order = np.lexsort((at, two, one, text))
-    at, one, two, text = at[order], one[order], two[order], text[order]
-    new = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | (text[1:] != text[:-1])] if len(at) else np.zeros(0, bool)
-    first = np.flatnonzero(new)
-    times = np.diff(np.r_[first, len(at)])
-    at, one, two, text = at[first], one[first], two[first], text[first]
+class Seen:
+    """The windows a task has met, as two hashes, and whether it has sent two rows of them; forgets all beyond ``LIMIT``."""
+
+    LIMIT = 1 << 22
+
+    def __init__(self):
+        self.one, self.two, self.twice = np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, bool)
+
+    def before(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where windows stand, and how often they were sent (0, 1, 2)."""
+        if not len(self.one):
+            return np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        return at, np.where((self.one[at] == one) & (self.two[at] == two), 1 + self.twice[at], 0)
+
+    def add(self, one: np.ndarray, two: np.ndarray, twice: np.ndarray) -> None:
+        if len(self.one) + len(one) > self.LIMIT:
+            self.__init__()
+        one, two, twice = np.r_[self.one, one], np.r_[self.two, two], np.r_[self.twice, twice]
+        order = np.argsort(one, kind="stable")
+        self.one, self.two, self.twice = one[order], two[order], twice[order]
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Which rows of sorted keys begin a group."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return out
+
+
+def _sent(one: np.ndarray, two: np.ndarray, seen: Seen) -> tuple[np.ndarray, np.ndarray]:
+    """How many rows each of these windows (one of each place) counts for: 0 is settled, without a row to count.
+
+    Also whether a row is known to repeat.
+    """
     order = np.lexsort((two, one))
-    head = np.r_[True, (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])] if len(at) else np.zeros(0, bool)
+    head = _heads(one[order], two[order])
     group = np.cumsum(head) - 1
-    total = np.zeros(len(at), np.int64)
-    total[order] = np.bincount(group, times[order], minlength=0)[group].astype(np.int64) if len(at) else 0
-    lead = np.zeros(len(at), bool)
-    lead[order[head]] = True
-    alone = (total > 1) & ~lead  # settled here; goes under a key of its own
-    salt = mix(one ^ mix(at.astype(U64) + w.hashes[0])) if len(at) else one
-    one, two = np.where(alone, salt, one), np.where(alone, mix(two + salt), two)
-    return one.view(np.int64), two.view(np.int64), text, at - w.bounds[text], np.where(total > 1, 2, 1)
-
-
-def _places(batch: pa.RecordBatch, first: int, last: int, w: Words) -> np.ndarray:
-    """Positions in the slice of the windows that column ``places`` lists."""
+    here = np.bincount(group) if len(order) else np.zeros(0, np.int64)
+    first = order[head]
+    at, sent = seen.before(one[first], two[first])
+    weight = np.zeros(len(one), np.int64)
+    weight[first] = np.where(sent == 0, np.minimum(here, 2), np.where(sent == 1, 1, 0))
+    again = np.zeros(len(one), bool)
+    again[order] = (here + sent > 1)[group]
+    seen.twice[at[sent == 1]] = True
+    new = sent == 0
+    seen.add(one[first][new], two[first][new], here[new] > 1)
+    return weight, again
+
+
+def _runs(text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """text, first place and length of the runs of places."""
+    order = np.lexsort((place, text))
+    text, place = text[order], place[order]
+    start = np.flatnonzero(_heads(text, place - np.arange(len(place))))
+    return text[start], place[start], np.diff(np.r_[start, len(text)])
+
+
+def _listed(batch: pa.RecordBatch, first: int, last: int, w: Words) -> np.ndarray:
+    """Positions in the slice that column ``places`` lists."""
     lists = batch.column("places").slice(first, last - first)
     return (lists.flatten().to_numpy() + np.repeat(w.bounds[:-1], lists.value_lengths().fill_null(0).to_numpy())).astype(np.int64)
 
 
-def described(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """k1, k2, n (words), f1, f2 (fingerprint of the words), anchors (place, and a hash for each level) of every row."""
-    left = reach(lengths)
-    names = [f"h{i}" for i in range(len(left))]
-    kind = pa.struct([("place", pa.int32()), *((h, pa.int64()) for h in names)])
+def _print(w: Words, place: np.ndarray) -> list[np.ndarray]:
+    """A fingerprint of the words of each text, in two numbers."""
+    out = []
+    for seed in (U64(11), U64(22)):
+        run = np.r_[np.zeros(1, U64), np.cumsum(mix(w.hashes ^ mix(place.astype(U64) + seed)))]
+        out.append((run[w.bounds[1:]] - run[w.bounds[:-1]]).view(np.int64))
+    return out
+
+
+def prints(rows: DataFrame) -> DataFrame:
+    """k1, k2, n (words), f1, f2 (fingerprint) of every row."""
 
     def each(batch):
         raw, offsets = buffers(batch.column("text"))
         for first, last in slices(offsets, SLICE):
             w = Words(raw, offsets[first : last + 1], _ALPHABET)
             owner = w.owner()
-            place = np.arange(len(owner)) - w.bounds[owner]
-            prints = []
-            for seed in (U64(11), U64(22)):
-                run = np.r_[np.zeros(1, U64), np.cumsum(mix(w.hashes ^ mix(place.astype(U64) + seed)))]
-                prints.append((run[w.bounds[1:]] - run[w.bounds[:-1]]).view(np.int64))
-            at = _anchors(w.hashes, owner, lengths) if left else np.zeros(0, np.int64)
-            found = [pa.array(place[at].astype(np.int32)), *(pa.array(windows(w.hashes, n)[at - b].view(np.int64)) for n, b in zip(lengths, left, strict=False))]
-            bounds = np.r_[0, np.cumsum(np.bincount(owner[at], minlength=last - first))].astype(np.int32)
-            anchors = pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(found, fields=list(kind)))
             part = batch.slice(first, last - first)
-            yield [part.column("k1"), part.column("k2"), w.counts, *prints, anchors]
-
-    fields = ",".join(["place:int", *(f"{h}:bigint" for h in names)])
-    return map_batches(rows.select(*KEY, "text"), each, f"k1 bigint, k2 bigint, n bigint, f1 bigint, f2 bigint, anchors array<struct<{fields}>>")
+            yield [part.column("k1"), part.column("k2"), w.counts, *_print(w, np.arange(len(owner)) - w.bounds[owner])]
 
+    return map_batches(rows.select(*KEY, "text"), each, "k1 bigint, k2 bigint, n bigint, f1 bigint, f2 bigint")
 
-def candidates(table: DataFrame, lengths: list[int]) -> DataFrame | None:
-    """k1, k2, places of the anchors whose windows repeat on every level but the last; None if there are none."""
-    live = table.select(*KEY, "f1", F.explode("anchors").alias("a")).select(*KEY, "f1", "a.*")
-    for i in range(len(lengths) - 1):
-        place = F.xxhash64("f1", "place")
-        seen = live.groupBy(f"h{i}").agg(F.min(place).alias("least"), F.max(place).alias("most"))
-        alive, n = few(seen.filter("least < most").select(f"h{i}"))
-        if not n:
-            return None
-        live = live.join(alive, f"h{i}", "left_semi").drop(f"h{i}")
-        if i + 2 < len(lengths):
-            live = checkpointed(live)
-    return checkpointed(live.groupBy(*KEY).agg(F.collect_set("place").alias("places")))
 
+def anchors(rows: DataFrame, lengths: list[int]) -> DataFrame:
+    """f1, place, a hash for each level but the last, and settled (the task knows that the window repeats)."""
+    left = reach(lengths)
 
-def _repeated(rows: DataFrame) -> DataFrame:
-    """k1, k2, places of the windows that start at two places, counted under salts first."""
-    near = Window.partitionBy("key1", "key2", "salt")
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64(*KEY, "place"), F.lit(PIECES)).cast("int"))
-    rows = rows.withColumn("here", F.sum("weight").over(near)).withColumn("lead", F.row_number().over(near.orderBy(*KEY, "place")) == 1)
-    own = lambda key: F.when(F.col("lead"), F.col(key)).otherwise(F.xxhash64(key, *KEY, "place")).alias(key)
-    total = F.sum("here").over(Window.partitionBy("key1", "key2"))
-    rows = rows.select(own("key1"), own("key2"), *KEY, "place", "here").withColumn("total", total)
-    return rows.filter("total > 1").groupBy(*KEY).agg(F.collect_list("place").alias("places"))
+    def each(batches):
+        seen, firsts = Seen(), Seen()
+        for batch in batches:
+            raw, offsets = buffers(batch.column("text"))
+            for first, last in slices(offsets, SLICE):
+                w = Words(raw, offsets[first : last + 1], _ALPHABET)
+                owner = w.owner()
+                place = np.arange(len(owner)) - w.bounds[owner]
+                at = _anchors(w.hashes, owner, lengths)
+                f1 = _print(w, place)[0][owner[at]]
+                hashes = [windows(w.hashes, n)[at - b] for n, b in zip(lengths, left, strict=False)]
+                # equal places of equal texts are one place
+                longest, where = hashes[-1], mix(f1.view(U64) ^ mix(place[at].astype(U64)))
+                order = np.lexsort((where, longest))
+                keep = order[_heads(longest[order], where[order])]
+                longest, where, f1, at = longest[keep], where[keep], f1[keep], place[at[keep]]
+                fresh = firsts.before(longest, where)[1] == 0
+                longest, where, f1, at, keep = longest[fresh], where[fresh], f1[fresh], at[fresh], keep[fresh]
+                new = _heads(longest) & (seen.before(longest, none := np.zeros(len(keep), U64))[1] == 0)
+                firsts.add(longest[new], where[new], new[new])
+                weight, settled = _sent(longest, none, seen)
+                own = mix(longest ^ where)  # a key of its own where the task has sent the window's
+                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(at.astype(np.int32)), *(pa.array(np.where(weight == 0, own, h[keep]).view(np.int64)) for h in hashes), pa.array(settled)], names=names)
+
+    names = ["f1", "place", *(f"h{i}" for i in range(len(left))), "settled"]
+    kinds = ["bigint", "int", *["bigint"] * len(left), "boolean"]
+    return rows.select("text").mapInArrow(each, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
+
+
+def candidates(rows: DataFrame, lengths: list[int]) -> DataFrame | None:
+    """f1, places of the anchors whose windows repeat on every level but the last; None if there are none."""
+    live, levels = anchors(rows, lengths), len(lengths) - 1
+    alive = checkpointed(live.groupBy("h0").agg(F.count("*").alias("c"), F.max("settled").alias("s")).filter("c > 1 or s").select(F.col("h0").alias("h")))
+    if alive.isEmpty():
+        return None
+    live = live.join(alive, F.col("h0") == F.col("h"), "left_semi")
+    for i in range(1, levels):
+        group, place = Window.partitionBy(f"h{i}"), F.xxhash64("f1", "place")
+        live = live.withColumn("least", F.min(place).over(group)).withColumn("most", F.max(place).over(group))
+        live = checkpointed(live.filter("settled or least < most").drop("least", "most", f"h{i - 1}"))
+        if live.isEmpty():
+            return None
+    return checkpointed(live.groupBy("f1").agg(F.collect_set("place").alias("places")))
 
 
 def _last(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """k1, k2, places of the long windows that repeat, of rows with the places of anchors (without these: of all)."""
+    """k1, k2, spans (first place and number of places) of the long windows that repeat, of rows with the places of anchors (without these: of all)."""
     window, anchored = lengths[-1], len(lengths) > 1
-
-    def each(batch):
-        raw, offsets = buffers(batch.column("text"))
-        for first, last in slices(offsets, SLICE):
-            w = Words(raw, offsets[first : last + 1], _ALPHABET)
-            owner = w.owner()
-            ok = _inside(owner, window)
-            if anchored:
-                places = _places(batch, first, last, w)
-                short, least, _ = _least(w.hashes, owner, lengths)
-                ok &= np.isin(mix(least ^ mix(owner[: len(least)].astype(U64))), mix(short[places] ^ mix(owner[places].astype(U64))))
-            at = np.flatnonzero(ok)
-            one, two, text, place, weight = _rows(at, windows(w.hashes, window)[at], _second(w.hashes, window)[at], w, owner)
-            pick = pa.array(text + first)
-            yield [one, two, *(batch.column(k).take(pick) for k in KEY), place, weight]
-
-    return _repeated(map_batches(rows, each, "key1 bigint, key2 bigint, k1 bigint, k2 bigint, place int, weight int"))
-
-
-def _covered(w: Words, owner: np.ndarray, places: np.ndarray, window: int) -> np.ndarray:
-    """Words in repeated windows: the listed ones, and equal ones of the same text."""
-    start = np.zeros(len(owner) + 1, np.int64)
-    listed = np.zeros(len(w.counts), bool)
-    listed[owner[places]] = True
-    inside = _inside(owner, window)
-    ok = np.flatnonzero(inside & listed[owner[: len(inside)]])
-    one, two = windows(w.hashes, window)[ok], _second(w.hashes, window)[ok]
-    order = np.lexsort((two, one, owner[ok]))
-    same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (owner[ok][order][1:] == owner[ok][order][:-1])
-    twice = np.zeros(len(ok), bool)
-    twice[order[1:][same]] = twice[order[:-1][same]] = True
-    begin = np.unique(np.r_[places, ok[twice]])
-    start[begin] += 1
-    np.add.at(start, begin + window, -1)
-    return np.cumsum(start)[:-1] > 0
-
-
-def _spans(gone: np.ndarray, w: Words) -> pa.ListArray:
+    names = ["key1", "key2", *KEY, "place", "run", "weight"]
+
+    def each(batches):
+        seen = Seen()
+        for batch in batches:
+            raw, offsets = buffers(batch.column("text"))
+            for first, last in slices(offsets, SLICE):
+                w = Words(raw, offsets[first : last + 1], _ALPHABET)
+                owner = w.owner()
+                ok = _inside(owner, window)
+                if anchored:
+                    places = _listed(batch, first, last, w)
+                    short, least, _ = _least(w.hashes, owner, lengths)
+                    ok &= np.isin(mix(least ^ mix(owner[: len(least)].astype(U64))), mix(short[places] ^ mix(owner[places].astype(U64))))
+                at = np.flatnonzero(ok)
+                one, two, text, place = windows(w.hashes, window)[at], _second(w.hashes, window)[at], owner[at], at - w.bounds[owner[at]]
+                weight, again = _sent(one, two, seen)
+                count, settled = weight > 0, again & (weight == 0)
+                t, p, run = _runs(text[settled], place[settled])
+                fill = mix(p.astype(U64) ^ mix(t.astype(U64) ^ w.hashes[0])) if len(p) else np.zeros(0, U64)
+                pick = pa.array(np.r_[text[count], t] + first)
+                columns = [np.r_[one[count], fill].view(np.int64), np.r_[two[count], mix(fill)].view(np.int64)]
+                numbers = [np.r_[place[count], p], np.r_[np.ones(count.sum(), np.int64), run], np.r_[weight[count], np.full(len(p), 2)]]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *(batch.column(k).take(pick) for k in KEY), *(pa.array(x.astype(np.int32)) for x in numbers)], names=names)
+
+    sent = rows.mapInArrow(each, "key1 bigint, key2 bigint, k1 bigint, k2 bigint, place int, run int, weight int")
+    sent = sent.withColumn("total", F.sum("weight").over(Window.partitionBy("key1", "key2"))).filter("total > 1")
+    return sent.groupBy(*KEY).agg(F.collect_list(F.struct("place", "run")).alias("spans"))
+
+
+def _covered(batch: pa.RecordBatch, first: int, last: int, bounds: np.ndarray, window: int) -> np.ndarray:
+    """Which words of the slice lie in the windows that column ``spans`` lists."""
+    lists = batch.column("spans").slice(first, last - first)
+    flat = lists.flatten()
+    begin = flat.field("place").to_numpy() + np.repeat(bounds[:-1], lists.value_lengths().fill_null(0).to_numpy())
+    change = np.zeros(bounds[-1] + 1, np.int64)
+    np.add.at(change, begin, 1)
+    np.add.at(change, begin + flat.field("run").to_numpy() - 1 + window, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def _spans(gone: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
     """The runs of removed words of each text, as places of the first word and of the one after the last."""
     head = np.zeros(len(gone) + 1, bool)
-    head[w.bounds] = True
+    head[bounds] = True
     start = np.flatnonzero(gone & (head[:-1] | ~np.r_[False, gone[:-1]]))
     stop = np.flatnonzero(gone & (head[1:] | ~np.r_[gone[1:], False])) + 1
-    text = w.owner()[start]
-    bounds = np.r_[0, np.cumsum(np.bincount(text, minlength=len(w.counts)))].astype(np.int32)
-    places = [pa.array((x - w.bounds[text]).astype(np.int32)) for x in (start, stop)]
-    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(places, ["start", "stop"]))
+    text = np.searchsorted(bounds, start, "right") - 1
+    counts = np.r_[0, np.cumsum(np.bincount(text, minlength=len(bounds) - 1))].astype(np.int32)
+    places = [pa.array((x - bounds[text]).astype(np.int32)) for x in (start, stop)]
+    return pa.ListArray.from_arrays(pa.array(counts), pa.StructArray.from_arrays(places, ["start", "stop"]))
 
 
 def digest(rows: DataFrame) -> DataFrame:
@@ -264,33 +321,36 @@ def cut(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = rows.select(*row_keys(F.col("doc_id"), F.col("text")), "doc_id", "text")
     lengths = ladder(window)
 
-    table = written(described(rows, lengths)).filter(F.col("n") >= window)
+    table = checkpointed(prints(rows).filter(F.col("n") >= window))
     same = ["f1", "f2", "n"]
     groups = table.groupBy(*same).agg(F.count("*").alias("c"), F.min("k1").alias("rep")).filter("c > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = table.select(*KEY, *same, F.pmod("k1", F.lit(SALTS)).cast("int").alias("salt"))
-    copies, _ = few(salted.join(groups, [*same, "salt"]).select(*KEY, (F.col("k1") == F.col("rep")).alias("lead")).distinct())
-    anchors = candidates(table, lengths) if len(lengths) > 1 else None
+    salted = table.withColumn("salt", F.pmod("k1", F.lit(SALTS)).cast("int"))
+    copies = checkpointed(salted.join(groups, [*same, "salt"]).select(*KEY, (F.col("k1") == F.col("rep")).alias("lead")).distinct())
+    found = candidates(rows, lengths) if len(lengths) > 1 else None
 
     by_doc = rows.repartition(*KEY)
-    if anchors is None and len(lengths) > 1:  # no candidate is left
-        marked = rows.join(copies.select(*KEY, F.lit(True).alias("copy")), KEY, "left").withColumn("places", F.lit(None).cast("array<int>"))
+    if found is None and len(lengths) > 1:  # no candidate is left
+        marked = rows.join(copies.select(*KEY, F.lit(True).alias("copy")), KEY, "left").withColumn("spans", F.lit(None).cast("array<struct<place:int,run:int>>"))
     else:
         # not an anti join: Spark would move that below the exchange, which then could not be shared
-        taking = by_doc.join(copies, KEY, "left").filter("lead is null or lead")
-        taking = taking.join(anchors, KEY).select(*KEY, "doc_id", "text", "places") if anchors else taking.select(*KEY, "doc_id", "text")
+        taking = by_doc.join(copies, KEY, "left").filter("lead is null or lead").select(*KEY, "doc_id", "text")
+        if found is not None:
+            fits = F.filter("places", lambda p: p.cast("bigint") + lengths[0] <= F.col("n"))
+            taking = taking.join(table.join(found, "f1").select(*KEY, fits.alias("places")).dropDuplicates(KEY), KEY)
         marked = by_doc.join(copies.select(*KEY, F.lit(True).alias("copy")), KEY, "left").join(_last(taking, lengths), KEY, "left")
 
     def finish(batch):
         raw, offsets = buffers(batch.column("text"))
         copy = batch.column("copy").fill_null(False).to_numpy(zero_copy_only=False)
         for first, last in slices(offsets, SLICE):
-            w = Words(raw, offsets[first : last + 1], _ALPHABET)
-            gone = _covered(w, w.owner(), _places(batch, first, last, w), window) | np.repeat(copy[first:last], w.counts)
+            texts = [raw[offsets[t] : offsets[t + 1]].tobytes().split() for t in range(first, last)]
+            counts = np.array([len(t) for t in texts], np.int64)
+            bounds = np.r_[0, np.cumsum(counts)]
+            gone = _covered(batch, first, last, bounds, window) | np.repeat(copy[first:last], counts)
             kept = []
-            for t in range(last - first):
-                words = raw[offsets[first + t] : offsets[first + t + 1]].tobytes().split()
-                part = gone[w.bounds[t] : w.bounds[t + 1]]
+            for t, words in enumerate(texts):
+                part = gone[bounds[t] : bounds[t + 1]]
                 kept.append(b" ".join(compress(words, ~part) if part.any() else words))
-            yield [batch.column("doc_id").slice(first, last - first), w.counts, _spans(gone, w).to_pylist(), pa.array(kept, pa.binary()).view(pa.string())]
+            yield [batch.column("doc_id").slice(first, last - first), counts, _spans(gone, bounds).to_pylist(), pa.array(kept, pa.binary()).view(pa.string())]
 
-    return map_batches(marked.select("doc_id", "text", "copy", "places"), finish, CUT)
+    return map_batches(marked.select("doc_id", "text", "copy", "spans"), finish, CUT)

@@ -59,11 +59,17 @@ def test_ladder():
         assert all(x <= y and a - x <= b - y for a, b, x, y in zip(lengths, lengths[1:], left, left[1:]))
 
 
+def test_task_that_forgets(spark, monkeypatch):
+    monkeypatch.setattr(substrings.Seen, "LIMIT", 100)
+    texts = odd_texts(3)
+    assert sorted(tuple(r) for r in substrings.dedup(frame(spark, texts).repartition(2), 35).collect()) == brute(texts, 35)
+
+
 def test_levels_stop_when_nothing_repeats(spark):
     texts = [" ".join(f"w{k}x{i}" for i in range(80)) for k in range(20)]
     lengths, df = substrings.ladder(35), frame(spark, texts)
     rows = df.select(*substrings.row_keys(df["doc_id"], df["text"]), "text")
-    assert substrings.candidates(substrings.described(rows, lengths), lengths) is None
+    assert substrings.candidates(rows, lengths) is None
     assert {r["n_removed"] for r in substrings.dedup(df).collect()} == {0}
     half = " ".join(f"w{i}" for i in range(17))  # repeats on the first level alone
     again = [f"{t} {half} {t}x" for t in texts[:3]]

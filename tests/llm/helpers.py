@@ -5,7 +5,7 @@ import re
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Extra columns whose names operators use themselves.
-CLASH = ", size long, h1 long, n long, k long, text_sha256 string, rank long, shard string, component string, place string, y long"
+CLASH = ", size long, h1 long, n long, k long, text_sha256 string, rank long, shard string, component string, place string, y long, r1 long, r2 long, times long, copy long, __items string, __id long, __times long, spans long"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -38,5 +38,5 @@ def frame(spark, texts, extra=True):
     rows = [(i, t, "en", None if i % 7 == 0 else f"s{i % 3}", None if t is None else len(t)) for i, t in enumerate(texts)]
     if not extra:
         return spark.createDataFrame(rows, SCHEMA)
-    more = (5, 6, 7, 8, "z", 9, "q", "w", "p", 1)
+    more = (5, 6, 7, 8, "z", 9, "q", "w", "p", 1, 2, 3, 4, 5, "x", 6, 7, 8)
     return spark.createDataFrame([r + more for r in rows], SCHEMA + CLASH)

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -69,8 +70,75 @@ def test_small_tables(spark):
     assert mixing.mix(df).collect() == [(0, 2, 2, 2.0, 2)]
     assert mixing.mix(frame(spark, [None, ""])).filter("taken > 0 or target > 0").count() == 0
     rows = [(1, "a b", "en", "s", 1), (1, "a b", "en", "s", 1), (None, "c", "en", None, 1)]
-    twice = spark.createDataFrame([r + (5, 6, 7, 8, "z", 9, "q", "w", "p", 1) for r in rows], SCHEMA + CLASH)
-    assert mixing.mix(twice).count() == 3 and mixing.apply(twice).count() >= 3
+    twice = spark.createDataFrame([r + (5, 6, 7, 8, "z", 9, "q", "w", "p", 1, 2, 3, 4, 5, "x", 6, 7, 8) for r in rows], SCHEMA + CLASH)
+    assert mixing.mix(twice).count() == 3 and mixing.apply(twice).columns == twice.columns
+    assert words_by_source(mixing.apply(twice)) == taken_by_source(twice)
+
+
+def words_by_source(df):
+    out = {}
+    for r in df.collect():
+        out[r["source"]] = out.get(r["source"], 0) + len(WORD.findall(r["text"] or ""))
+    return out
+
+
+def taken_by_source(df):
+    """Words that ``mix`` takes; its rows name no source, so sources here differ in size."""
+    source = {n: s for s, n in words_by_source(df).items()}
+    out = {}
+    for r in mixing.mix(df).collect():
+        out[source[r["source_size"]]] = out.get(source[r["source_size"]], 0) + r["taken"]
+    return {s: n for s, n in out.items() if n}
+
+
+@pytest.mark.parametrize("ids", ["null", "few", "equal rows"])
+def test_apply_takes_what_mix_takes(spark, ids):
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        text = " ".join(["w"] * r.randrange(1, 60)) if ids != "equal rows" else "w w w"
+        doc_id = None if ids == "null" else i % 7 if ids == "few" else 1
+        rows.append((doc_id, text, "en", f"s{i % 3}" if i % 5 else "s0", 0))
+    df = spark.createDataFrame([x + (5, 6, 7, 8, "z", 9, "q", "w", "p", 1, 2, 3, 4, 5, "x", 6, 7, 8) for x in rows], SCHEMA + CLASH)
+    assert words_by_source(mixing.apply(df)) == taken_by_source(df)
+
+
+def test_rates_against_bisection(spark):
+    """With no rounding, a source's rates are min(3, exp(t * size)) for the one t that meets the target."""
+    docs = corpus(spark, 600)
+    sizes = {r["doc_id"]: (r["source"], r["size"]) for r in mixing.sizes(docs).collect()}
+    totals = {}
+    for s, n in sizes.values():
+        totals[s] = totals.get(s, 0) + n
+    want = mixing.targets(totals)
+    by_size = mixing.sizes(docs).groupBy("source", "size").count().withColumnRenamed("count", "docs")
+    tilts = mixing.tilts(by_size, totals, want)
+    copies = {r["doc_id"]: r["taken"] // r["size"] for r in mixing.mix(docs).collect() if r["size"]}
+    for s in totals:
+        mine = [(d, n) for d, (x, n) in sizes.items() if x == s]
+        low, high = -10.0, 10.0
+        for _ in range(200):
+            t = (low + high) / 2
+            got = sum(n * min(3, math.exp(min(t * n, 2))) for _, n in mine)
+            low, high = (t, high) if got < want[s] else (low, t)
+        if want[s] < 3 * totals[s] * (1 - 1e-9):
+            assert tilts[s][0] / tilts[s][1] == pytest.approx(low, rel=1e-3, abs=1e-7)
+        for d, n in mine:  # a row's copies are its rate, rounded up or down
+            rate = min(3, math.exp(min(low * n, 2)))
+            assert math.floor(rate - 1e-3) <= copies[d] <= math.ceil(rate + 1e-3)
+
+
+def test_rates_that_cannot_be_found(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_ROUNDS", 1)
+    with pytest.raises(ArithmeticError):
+        mixing.mix(corpus(spark, 100))
+
+
+def test_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    docs = corpus(spark, 300)
+    once, again = (sorted(map(tuple, mixing.mix(d).collect())) for d in (docs, docs.repartition(5)))
+    assert once == again and len(once) == 300
 
 
 def test_too_many_sources(spark, monkeypatch):

@@ -15,36 +15,43 @@ each other, both do. The layout (``n2``, ``k2``) of a band is chosen by its expe
 
 Steps:
 1. Fingerprint every text; equal sets become one representative (the smallest id).
-2. Sign representatives; sort signatures; the smallest id of a shared signature is its pivot.
+2. Sign representatives. In each batch of rows the smallest id of a signature is its pivot, and pivots
+   alone travel; the smallest of them is their pivot in turn, so a signature that a third of all
+   documents share sends one row for each batch to the task that compares its ids.
 3. Test each member against its pivot, form components; then test members of a signature that
    lie in different components against each other. Linked sets of one component need no test.
+   A signature with many such members is refined: they sign again under another seed, where sets that
+   link share a signature too, and meet only where they share both.
 Tests: a parity sketch of each set bounds the difference from below and rules out most pairs
-exactly; the rest are verified on the sets themselves. Pairs are formed inside blocks of at most
-``GROUP`` members, in tasks, and only those that pass the sketch leave the task, so a large group
-of near copies costs rows in proportion to its members. No step gathers rows on the driver.
+exactly; the rest are verified on the sets themselves (64-bit hashes of n-grams), member after member
+against a pivot that the task holds once. Pairs are formed inside blocks of at most ``GROUP`` members,
+in tasks, and only those that pass the sketch leave the task, so a large group of near copies costs
+rows in proportion to its members. No step gathers rows on the driver.
 4. To count links (``linked``), all sets of a component meet each other in blocks, once each pair, on
    the sets themselves; only the counts leave the task. Links never lie between components.
 
 Defined cases: null and empty texts and texts without words have an empty set and link with
 nothing; a text of fewer words than n is one n-gram of all its words; rows that repeat a doc_id
 are one node whose texts may differ; a row with null doc_id links with nothing and has a
-null component; an empty
-table gives an empty result; other columns are ignored (``join``, ``linked``) or kept (``distinct``).
+null component; texts of any length are hashed in blocks, but the set of one (8 bytes an
+n-gram) stands in memory whole; an empty table gives an empty result; other columns are ignored
+(``join``, ``linked``) or kept (``distinct``).
 """
 
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import components
-from marlstone.llm.session import checkpointed, map_batches
+from marlstone.llm.session import checkpointed, few, map_batches, unused
 from marlstone.llm.words import SPACE, U64, Alphabet, Words, buffers, joined, mix, slices, windows
 
 WORDS, PERCENT = 5, 80
@@ -59,8 +66,8 @@ GROUP = 2048
 COUNT_MEMBERS, COUNT_ELEMENTS = 1024, 1 << 20
 KEYS = ["h1", "h2", "n"]
 SKETCH_BITS = 4096
-#: Ids that may be broadcast to select texts for verification; beyond it they are joined.
-BROADCAST_IDS = 500_000
+#: Rounds of refinement of a signature whose members lie in many components, and its blocks from which it pays.
+ROUNDS, CROWD = 3, 3
 
 
 def differing(total: int, percent: int) -> int:
@@ -141,8 +148,8 @@ class Sets:
         packed = np.packbits((np.bincount(cell, minlength=base[-1]) & 1).astype(np.uint8))
         return [packed[a // 8 : b // 8].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)]
 
-    def signatures(self, percent: int) -> list[np.ndarray]:
-        """The signatures of each set."""
+    def signatures(self, percent: int, salt: int = 0) -> list[np.ndarray]:
+        """The signatures of each set; another salt gives others that serve as well."""
         found: list[list[np.ndarray]] = [[] for _ in self.sizes]
         if not len(self.values):
             return [np.zeros(0, U64) for _ in self.sizes]
@@ -152,7 +159,7 @@ class Sets:
             for seed in range(16):
                 if not len(todo):
                     break
-                todo = self._sign(found, todo, U64(mix(np.array([high * 64 + seed], U64))[0]), n1, need, n2, k2)
+                todo = self._sign(found, todo, U64(mix(np.array([(salt << 48) + high * 64 + seed], U64))[0]), n1, need, n2, k2)
             for t in todo:  # improbable: every seed left it with empty subsets
                 found[t].append(mix(np.array([high], U64)))
         return [np.concatenate(f) if f else np.zeros(0, U64) for f in found]
@@ -197,24 +204,39 @@ def fingerprints(texts: DataFrame, n: int) -> DataFrame:
     return map_batches(texts, each, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary")
 
 
-def signatures(texts: DataFrame, n: int, percent: int) -> DataFrame:
+def signatures(texts: DataFrame, n: int, percent: int, salt: int = 0) -> DataFrame:
+    """sign, doc, pivot: the smallest doc of the batch that has the signature, null for that doc itself."""
+
     def each(batch):
+        docs, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        ids = batch.column("doc_id").to_numpy()
         for first, last, s in _each_set(batch.column("text"), n):
-            found = s.signatures(percent)
-            off = np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int32)
-            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            yield [batch.column("doc_id").slice(first, last - first), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))]
-
-    return map_batches(texts, each, "doc_id bigint, signs array<bigint>")
+            found = s.signatures(percent, salt)
+            docs.append(np.repeat(ids[first:last], [len(f) for f in found]))
+            signs += [f.view(np.int64) for f in found]
+        doc, sign = np.concatenate(docs), np.concatenate(signs)
+        order = np.lexsort((doc, sign))
+        doc, sign = doc[order], sign[order]
+        start = np.flatnonzero(np.r_[True, sign[1:] != sign[:-1]]) if len(sign) else np.zeros(0, np.int64)
+        pivot = np.repeat(doc[start], np.diff(np.r_[start, len(sign)]))
+        alone = np.zeros(len(sign), bool)
+        alone[start] = True
+        keep = alone | (doc != pivot)
+        yield [sign[keep], doc[keep], pa.array(pivot[keep], mask=alone[keep])]
+
+    return map_batches(texts, each, "sign bigint, doc bigint, pivot bigint")
 
 
 def _shared(signed: DataFrame) -> DataFrame:
-    """sign, doc, pivot of signatures that several documents have; rows come sorted by sign and doc."""
+    """sign, doc, pivot of signatures that several documents have; pivots of batches get the pivot of all."""
 
     def run(batches):
         last, pivot, alone = None, None, False  # of the group that the previous batch ended in
         for batch in batches:
-            sign, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            member = batch.column(2).is_valid()
+            if member.true_count:
+                yield batch.filter(member)
+            sign, doc = (c.to_numpy() for c in batch.filter(pc.invert(member)).columns[:2])
             if not len(sign):
                 continue
             same = np.r_[sign[0] == last if last is not None else False, sign[1:] == sign[:-1]]
@@ -229,7 +251,9 @@ def _shared(signed: DataFrame) -> DataFrame:
             last, pivot = sign[-1], pivots[-1]
             yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(d), pa.array(p)], names=["sign", "doc", "pivot"])
 
-    return signed.repartition("sign").sortWithinPartitions("sign", "doc").mapInArrow(run, "sign bigint, doc bigint, pivot bigint")
+    # a signature that a batch's members share needs no further look, so they go to any task
+    task = F.when(F.col("pivot").isNull(), F.col("sign")).otherwise(F.xxhash64("doc"))
+    return signed.repartition(task).sortWithinPartitions("sign", "doc").mapInArrow(run, "sign bigint, doc bigint, pivot bigint")
 
 
 def _words(sketch: bytes, bits: int) -> np.ndarray:
@@ -240,6 +264,14 @@ def _words(sketch: bytes, bits: int) -> np.ndarray:
     return x
 
 
+def _folded(sketches: bytes, size: int, to: int) -> np.ndarray:
+    """Sketches of ``size`` bytes each, folded to ``to`` bytes."""
+    x = np.frombuffer(sketches, U64).reshape(-1, size // 8)
+    while x.shape[1] * 8 > to:
+        x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+    return x
+
+
 def _may_link(na, nb, differ, percent: int):
     total = na + nb
     most = total - 2 * -(-percent * total // (100 + percent))
@@ -250,14 +282,16 @@ def _passing(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and sketches don't rule out."""
 
     def each(batch):
-        a, b, na, nb, sa, sb = (c.to_pylist() for c in batch.columns)
-        keep = []
-        for k in range(len(a)):
-            bits = 8 * min(len(sa[k]), len(sb[k]))
-            differ = int(np.bitwise_count(_words(sa[k], bits) ^ _words(sb[k], bits)).sum())
-            keep.append(bool(_may_link(na[k], nb[k], differ, percent)))
-        rows = batch.filter(pa.array(keep, pa.bool_()))
-        yield [rows.column(0), rows.column(1)]
+        na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+        sa, sb = (np.array(batch.column(f"sketch_{k}").to_pylist(), object) for k in "ab")
+        sizes = np.array([(len(x), len(y)) for x, y in zip(sa, sb, strict=True)], np.int64).reshape(-1, 2)
+        differ = np.zeros(len(na), np.int64)
+        for la, lb in np.unique(sizes, axis=0):  # powers of two, seven at most
+            rows = np.flatnonzero((sizes == (la, lb)).all(1))
+            x, y = (_folded(b"".join(v[rows]), n, min(la, lb)) for v, n in ((sa, la), (sb, lb)))
+            differ[rows] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+        rows = batch.filter(pa.array(_may_link(na, nb, differ, percent)))
+        yield [rows.column("a"), rows.column("b")]
 
     side = lambda k: prints.select(F.col("doc_id").alias(f"id_{k}"), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     rows = pairs.join(side("a"), F.col("a") == F.col("id_a")).join(side("b"), F.col("b") == F.col("id_b"))
@@ -266,42 +300,76 @@ def _passing(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(passing: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the similarity."""
+    """The pairs whose sets reach the similarity: members b stream past the set of a, in blocks of ``GROUP``."""
 
     def sets(batch):
         for first, last, s in _each_set(batch.column("text"), n):
             yield [batch.column("doc_id").slice(first, last - first), s.elements()]
 
-    def each(batch):
-        keep = []
-        for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(100 * both >= percent * (len(x) + len(y) - both))
-        rows = batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-        yield list(rows.columns)
-
-    chosen = _ids(passing.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            a, block, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "block", "b"))
+            pivot, elements = batch.column("kind").to_numpy() == 0, batch.column("elements")
+            begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (block[1:] != block[:-1]) | (pivot[1:] != pivot[:-1])])
+            out = []
+            for i, j in zip(begin, np.r_[begin[1:], len(a)], strict=True):
+                part = elements.slice(i, j - i)
+                if pivot[i]:
+                    new = [np.frombuffer(e, U64) for e in part.to_pylist()]
+                    held, key = (held if key == (a[i], block[i]) else []) + new, (a[i], block[i])
+                    continue
+                data = np.frombuffer(b"".join(part.to_pylist()), U64)
+                size = (pc.binary_length(part).to_numpy() // 8).astype(np.int64)
+                bounds, ok = np.r_[0, np.cumsum(size)], np.zeros(len(size), bool)
+                for mine in held:
+                    inside = np.r_[0, np.cumsum(np.isin(data, mine))]
+                    both = inside[bounds[1:]] - inside[bounds[:-1]]
+                    ok |= 100 * both >= percent * (len(mine) + size - both)
+                out.append((a[i:j][ok], b[i:j][ok]))
+            if out:
+                x, y = (np.concatenate(v).astype(np.int64) for v in zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+    chosen, _ = few(passing.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     found = checkpointed(map_batches(texts.join(chosen, F.col("doc_id") == F.col("id"), "left_semi"), sets, "doc_id bigint, elements binary"))
-    side = lambda k, name: found.select(F.col("doc_id").alias(f"id_{k}"), F.col("elements").alias(name))
-    rows = passing.join(side("a", "x"), F.col("a") == F.col("id_a")).join(side("b", "y"), F.col("b") == F.col("id_b")).select("a", "b", "x", "y")
-    return map_batches(rows, each, "a bigint, b bigint").distinct()
+    large, _ = few(passing.groupBy("a").count().filter(F.col("count") > GROUP).select(F.col("a").alias("of"), F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")))
+    pairs = passing.join(large, F.col("a") == F.col("of"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
+    heads = pairs.select("a", "block").distinct().join(found, F.col("a") == F.col("doc_id")).select("a", "block", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("b"), "elements")
+    members = pairs.join(found, F.col("b") == F.col("doc_id")).select("a", "block", F.lit(1).alias("kind"), "b", "elements")
+    rows = heads.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", "kind")
+    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _across(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (sign, doc, pivot, component) of a signature in different components that pass.
+def _across(members: DataFrame, prints: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs of members (sign, doc, component) of a signature in different components that pass.
 
-    Pivots are left out: each member has met its pivot. Members in the pivot's component need not meet
-    each other, only the rest; both sides are cut in blocks of GROUP, and each pair of a main block and
-    a block of the rest, or of two blocks of the rest, is a group of its own.
+    The component of the smallest member is the main one; its members need not meet each other, only the
+    rest. Both sides are cut in blocks of GROUP, and each pair of a main block and a block of the rest,
+    or of two blocks of the rest, is a group of its own. Members of a signature with more than ``CROWD``
+    groups are signed again, under another salt, and meet only where they share a signature of both.
     """
-    rest = members.filter("doc != pivot").select("sign", "doc", "component")
-    at_pivot = F.max(F.when(F.col("doc") == F.col("pivot"), F.col("component")))
-    mains = members.groupBy("sign").agg(at_pivot.alias("main"))
-    counted = rest.join(mains, "sign").withColumn("in_main", F.col("component") == F.col("main")).drop("main")
-    blocks = lambda side: F.ceil(F.sum(F.when(side, 1).otherwise(0)) / F.lit(GROUP)).cast("int")
-    mixed = counted.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), blocks(F.col("in_main")).alias("bm"), blocks(~F.col("in_main")).alias("bf"))
-    rows = counted.join(mixed.filter("low < high").select("sign", "bm", "bf"), "sign")
+    met = []
+    for salt in range(ROUNDS + 1):
+        mixed = members.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "doc").alias("main"))
+        mixed, _ = few(mixed.filter("low < high").select("sign", "main"))
+        rows = members.join(mixed, "sign").select("sign", "doc", "component", (F.col("component") == F.col("main")).alias("in_main"))
+        size = lambda side: F.ceil(F.sum(F.when(side, 1).otherwise(0)) / F.lit(GROUP)).cast("int")
+        blocks, _ = few(rows.groupBy("sign").agg(size(F.col("in_main")).alias("bm"), size(~F.col("in_main")).alias("bf")))
+        rows = checkpointed(rows.join(blocks, "sign"))
+        crowded = F.col("bf") * (F.col("bm") + (F.col("bf") + 1) / 2) > CROWD
+        met.append(checkpointed(_meeting(rows if salt == ROUNDS else rows.filter(~crowded), prints, percent)))
+        rest = rows.filter(crowded)
+        if salt == ROUNDS or rest.isEmpty():
+            break
+        ids, _ = few(rest.select(F.col("doc").alias("id")).distinct())
+        again = signatures(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), words, percent, salt + 1).select(F.col("doc").alias("of"), F.col("sign").alias("next"))
+        members = rest.join(again, F.col("doc") == F.col("of")).select(F.xxhash64("sign", "next").alias("sign"), "doc", "component")
+    return reduce(DataFrame.unionByName, met).distinct()
+
+
+def _meeting(rows: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows (sign, doc, component, in_main, bm and bf: blocks of either side) that pass."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.when(F.col("in_main"), F.col("bm")).otherwise(F.col("bf"))).cast("int"))
     own, bm, bf = F.col("own"), F.col("bm"), F.col("bf")
     upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda x: x < n)
@@ -368,16 +436,16 @@ def _found(texts: DataFrame, words: int, percent: int) -> DataFrame:
     salted = prints.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     one = F.struct(*KEYS)
     # ids with several sets sign them all: of a copy's id only the copied set could be left to the representative
-    several = _ids(known.groupBy(F.col("doc_id").alias("node")).agg((F.min(one) != F.max(one)).alias("several")).filter("several").select("node"))
+    several, _ = few(known.groupBy(F.col("doc_id").alias("node")).agg((F.min(one) != F.max(one)).alias("several")).filter("several").select("node"))
     extra = salted.join(_salts(copies), [*KEYS, "salt"]).filter("doc_id != rep").select(F.col("doc_id").alias("id"))
-    extra = _ids(extra.join(several, F.col("id") == F.col("node"), "left_anti"))
-    signed = signatures(texts.filter("doc_id is not null"), words, percent).join(extra, F.col("doc_id") == F.col("id"), "left_anti")
-    members = checkpointed(_shared(signed.select(F.explode("signs").alias("sign"), F.col("doc_id").alias("doc"))))
+    extra, _ = few(extra.join(several, F.col("id") == F.col("node"), "left_anti"))
+    signed = signatures(texts.filter("doc_id is not null").join(extra, F.col("doc_id") == F.col("id"), "left_anti"), words, percent)
+    members = checkpointed(_shared(signed))
     stars = members.filter("doc != pivot").select(F.col("pivot").alias("a"), F.col("doc").alias("b")).distinct()
     links = checkpointed(_verified(checkpointed(_passing(stars, known, percent)), texts, words, percent))
     parts = checkpointed(components(links))
     named = members.join(parts, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
-    more = checkpointed(_across(named, known, percent))
+    more = checkpointed(_across(named.select("sign", "doc", "component"), known, texts, words, percent))
     if not more.isEmpty():
         further = checkpointed(_verified(more, texts, words, percent))
         if not further.isEmpty():
@@ -452,7 +520,7 @@ def _counted(classes: DataFrame, texts: DataFrame, words: int, percent: int) ->
                 held.append(tuple(row))
         yield from flush()
 
-    chosen = _ids(members.select(F.col("rep").alias("id")).distinct())
+    chosen, _ = few(members.select(F.col("rep").alias("id")).distinct())
     found = map_batches(texts.join(chosen, F.col("doc_id") == F.col("id"), "left_semi"), sets, "h1 bigint, h2 bigint, n bigint, elements binary")
     own = F.pmod(F.xxhash64(F.lit(1), *KEYS), F.col("blocks")).cast("int")
     group = F.least("side", "other").cast("bigint") * F.col("blocks") + F.greatest("side", "other")
@@ -479,21 +547,19 @@ def linked(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
 
 
-
 def distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that link to a smaller id; the longest of rows that repeat a doc_id."""
+    """The rows of ``docs``, all columns, without those that link to a smaller id; the longest of rows that repeat a doc_id.
+
+    Rows without doc_id all stay.
+    """
+    node, row = unused(docs, "node", "row")
     found = checkpointed(join(docs, words, percent))
-    gone = _ids(found.filter("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct())
-    again = _ids(found.groupBy(F.col("doc_id").alias("__id")).count().filter("count > 1 and __id is not null").select("__id"))
-    kept = docs.join(gone, docs["doc_id"] == F.col("__id"), "left_anti")
-    if again.isEmpty():
+    gone, _ = few(found.filter("doc_id != component_id").select(F.col("doc_id").alias(node)).distinct())
+    again, repeated = few(found.filter("doc_id is not null").groupBy(F.col("doc_id").alias(node)).count().filter("count > 1").select(node))
+    doc_id = F.col("doc_id").cast("bigint")
+    kept = docs.join(gone, doc_id == F.col(node), "left_anti")
+    if not repeated:
         return kept
-    order = Window.partitionBy("doc_id").orderBy(F.length("text").desc_nulls_last(), "text")
-    once = kept.join(again, kept["doc_id"] == F.col("__id"), "left_semi").withColumn("__at", F.row_number().over(order)).filter("__at = 1").drop("__at")
-    return kept.join(again, kept["doc_id"] == F.col("__id"), "left_anti").unionByName(once)
-
-
-def _ids(ids: DataFrame) -> DataFrame:
-    """Ids computed once; marked for a broadcast if there are few enough."""
-    ids = checkpointed(ids)
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = kept.join(again, doc_id == F.col(node), "left_semi").groupBy(doc_id.alias(node)).agg(F.max_by(whole, F.struct(F.length("text"), F.col("text"))).alias(row))
+    return kept.join(again, doc_id == F.col(node), "left_anti").unionByName(once.select(f"{row}.*"))

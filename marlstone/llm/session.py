@@ -53,11 +53,11 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, limit: int = FEW) -> tuple[DataFrame, int]:
-    """``df`` computed once, marked for a broadcast if it has at most ``limit`` rows, and how many it has."""
+def few(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` computed once, marked for a broadcast if it has at most ``FEW`` rows, and how many it has."""
     df = checkpointed(df)
     n = df.count()
-    return (F.broadcast(df) if n <= limit else df), n
+    return (F.broadcast(df) if n <= FEW else df), n
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:

@@ -1,9 +1,11 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from marlstone.llm import near_join
+from marlstone.llm import near_join, session
 from marlstone.llm.components import components
 from tests.llm.helpers import WORD, frame, lower, odd_texts
 
@@ -45,8 +47,24 @@ def test_chains_and_small_groups(spark, monkeypatch):
     assert sorted(tuple(r) for r in got) == brute(texts, 4, 85)
 
 
+def test_crowds_that_share_signatures_and_do_not_link(spark, monkeypatch):
+    for name, value in (("CROWD", 0), ("ROUNDS", 1)):
+        monkeypatch.setattr(near_join, name, value)
+    r = random.Random(4)
+    head = " ".join(f"h{i}" for i in range(40))
+    tail = lambda k: [f"t{r.randrange(40)}" for _ in range(4 + k % 9)] if k % 3 else [f"u{k % 2}", "u2", "u3"]
+    texts = [" ".join([head, *tail(k)]) for k in range(30)]
+    df = frame(spark, texts).repartition(5)
+    rounds = []
+    sign = near_join.signatures
+    monkeypatch.setattr(near_join, "signatures", lambda *a: rounds.append(a[3:]) or sign(*a))
+    got = near_join.join(df, 2, 85).collect()
+    want = brute(texts, 2, 85)
+    assert sorted(tuple(x) for x in got) == want and 1 < len({c for _, _, c in want}) < 30 and len(rounds) > 1
+
+
 def test_ids_too_many_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(near_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(session, "FEW", 0)
     texts = odd_texts(3)
     got = near_join.join(frame(spark, texts), 4, 85).collect()
     assert sorted(tuple(r) for r in got) == brute(texts, 4, 85)
@@ -57,6 +75,9 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted((tuple(r) for r in near_join.join(df, 4, 85).collect()), key=repr)
     assert got == sorted([(5, 3, 3), (5, 3, 3), (3, 3, 3), (None, 3, None), (None, 0, None), (9, 0, 9), (9, 1, 9)], key=repr)
+    rows = [(1, "a b c d e f g h"), (5, "a b c d e f g h"), (5, "k l m n o p q r"), (7, "k l m n o p q r s")]
+    got = near_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert {r["component_id"] for r in got} == {1}
     kept = near_join.distinct(df.withColumn("component_id", df.text), 4, 85).collect()
     assert sorted((r["doc_id"] or 0) for r in kept) == [0, 0, 3, 9]
 

@@ -32,7 +32,8 @@ def class_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for at in range(int(offsets[0]), int(offsets[-1]), BLOCK):
         cut = np.clip(offsets, at, at + BLOCK)
         text = np.repeat(np.arange(n) * 12, np.diff(cut))
-        out += np.bincount(text + classes(raw[cut[0] : cut[-1]]), minlength=12 * n).reshape(n, 12)
+        kind = classes(raw[cut[0] : cut[-1] + 1])[: cut[-1] - cut[0]]  # the last character may go on behind the block
+        out += np.bincount(text + kind, minlength=12 * n).reshape(n, 12)
     return out
 
 
@@ -41,9 +42,9 @@ def _ratio(a, b):
 
 
 def per_text(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Sums of x over the ranges between bounds."""
-    run = np.r_[0, np.cumsum(x)]
-    return (run[bounds[1:]] - run[bounds[:-1]]).astype(float)
+    """Sums of x over the ranges between bounds, each by itself, so other texts don't matter."""
+    n = len(bounds) - 1
+    return np.bincount(np.repeat(np.arange(n), np.diff(bounds)), x.astype(float), n)
 
 
 QUALITY = 15

@@ -1,16 +1,19 @@
 """Quality classifier: regularised quadratic discriminant analysis.
 
 Statistics of whole texts (``profile.quality_features``) are the input; nothing else of a row
-is. Class moments are summed over all labelled training rows, in each task and then over tasks,
-so training gathers two small matrices whatever the number of rows. Each class covariance is
+is. The sample to learn from is bounded by ``SAMPLE`` labelled ids (of more, those with the smallest
+hashes), so it is broadcast and only its texts are described. Class moments are summed in each task and
+then over tasks, so training gathers two small matrices. Each class covariance is
 shrunk towards the diagonal of the pooled one; its Cholesky factor is kept, and a score is the
 logistic of the difference of the Gaussian log-densities (Mahalanobis distances by solving with
 the factor, and log-determinants) plus the log-odds of the classes.
 
 Defined cases: a null text counts as empty and gets a score like any other; null labels and
-labels of unknown documents are ignored; several labels of a document count as several rows; a
-class without training rows gives every text the share of label 1 (0.5 without any rows); other
-columns are ignored; rows with a null doc_id are scored and not held out.
+labels of unknown documents are ignored; equal labels of a document count once, others as several
+rows; a class with fewer than two training rows gives every text the share of label 1 (0.5 without any
+rows); a text of any length is described in blocks; repeated rows, and texts that tie, get equal scores; an
+empty table gives an empty result; other columns are ignored; rows with a null doc_id are scored and not
+held out.
 """
 
 from __future__ import annotations
@@ -28,17 +31,18 @@ SCORES = "doc_id bigint, held_out boolean, score double, predicted int"
 SHRINKAGE = 0.1
 FLOOR = 1e-4
 THRESHOLD = 0.3
+SAMPLE = 200_000
 
 
 @dataclass
 class Gaussian:
     mean: np.ndarray
-    inverse: np.ndarray  # of the Cholesky factor
+    factor: np.ndarray  # Cholesky factor of the covariance
     constant: float  # log share of the class, less half the log-determinant
 
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = (x - self.mean) @ self.inverse.T
-        return self.constant - 0.5 * (z * z).sum(1)
+        z = np.linalg.solve(self.factor, (x - self.mean).T)
+        return self.constant - 0.5 * (z * z).sum(0)
 
 
 def fit(count: np.ndarray, total: np.ndarray, product: np.ndarray, shrinkage: float = SHRINKAGE) -> list[Gaussian] | float:
@@ -52,7 +56,7 @@ def fit(count: np.ndarray, total: np.ndarray, product: np.ndarray, shrinkage: fl
     for k in (0, 1):
         s = (1 - shrinkage) * cov[k] + shrinkage * np.diag(np.diag(pooled)) + FLOOR * np.eye(len(pooled))
         factor = np.linalg.cholesky(s)
-        out.append(Gaussian(mean[k], np.linalg.inv(factor), float(np.log(count[k] / count.sum()) - np.log(np.diag(factor)).sum())))
+        out.append(Gaussian(mean[k], factor, float(np.log(count[k] / count.sum()) - np.log(np.diag(factor)).sum())))
     return out
 
 
@@ -68,24 +72,29 @@ def in_fold(doc_id, folds: int, fold: int):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, shrinkage: float = SHRINKAGE) -> list[Gaussian] | float:
-    """The model of all rows of ``docs`` that ``labels`` marks; the caller chooses the rows."""
-    size = QUALITY
+def sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
+    """id and y of about ``limit`` labelled ids at most, the smallest hashes first, to be broadcast: two rows an id at most."""
+    rows = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).cast("int").alias("y"))
+    rows = rows.filter(F.col("y").isin(0, 1) & F.col("id").isNotNull()).distinct()
+    n = rows.agg(F.count_distinct("id")).first()[0]
+    rank = F.pmod(F.shiftrightunsigned(F.xxhash64(F.lit(77), "id"), 16), F.lit(1 << 30))
+    return F.broadcast(rows.filter(rank < int((1 << 30) * min(1.0, limit / max(n, 1)))))
+
 
-    def describe(batch):
-        yield [batch.column("doc_id"), [v.tobytes() for v in quality_features(batch.column("text"))]]
+def train(docs: DataFrame, labels: DataFrame, label: str, shrinkage: float = SHRINKAGE, limit: int = SAMPLE) -> list[Gaussian] | float:
+    """The model of rows of ``docs`` that ``labels`` marks; the caller chooses the rows."""
+    size = QUALITY
 
     def moments(batch):
-        x = np.frombuffer(b"".join(batch.column("x").to_pylist()), float).reshape(-1, size)
         y = batch.column("y").to_numpy()
+        x = quality_features(batch.column("text"))
         for k in (0, 1):
             v = x[y == k]
             sums = np.r_[len(v), v.sum(0), (v.T @ v).ravel()]
             yield [[k] * len(sums), list(range(len(sums))), sums]
 
-    marked = labels.select(F.col("doc_id").cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).filter("y in (0, 1) and id is not null")
-    described = map_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null"), describe, "doc_id bigint, x binary")
-    rows = described.join(marked, F.col("doc_id") == F.col("id")).select("y", "x")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    rows = rows.join(sample(labels, label, limit), F.col("doc_id") == F.col("id")).select("y", "text")
     sums = np.zeros((2, 1 + size + size * size))
     for r in map_batches(rows, moments, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect():
         sums[r["k"], r["i"]] = r["v"]
@@ -95,7 +104,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, shrinkage: float = SHR
 def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every row; rows of the fold are never learnt from."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", in_fold(F.col("doc_id"), folds, fold).alias("held_out"))
-    model = train(rows.filter(~F.col("held_out")), labels, "quality")
+    model = train(rows.filter(~F.col("held_out")), labels.filter(~in_fold(F.col("doc_id"), folds, fold)), "quality")
 
     def each(batch):
         p = score(model, quality_features(batch.column("text")))

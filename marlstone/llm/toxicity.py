@@ -5,17 +5,21 @@ rows: whole words and word beginnings of 4, 5 and 6 bytes, with their log-odds.
 of a text are its lexicon densities and peaks, the lexicon in spelling with digits and signs for
 letters, how near second-person words stand to lexicon words, and rates of capitals, punctuation
 and obfuscation. So that no row teaches the lexicon by which the trees see it, the labelled rows
-are halved by a hash of doc_id, and each half is described with the lexicon of the other; a fifth
-of the rows serve the calibration instead of the trees. New texts get the lexicon of all rows.
-
-The sample to learn from is bounded by ``SAMPLE`` rows (of more labelled rows, those with the
-smallest hashes), so its ids may be broadcast and its features gathered on the driver. What is
+are halved by a hash of doc_id, and each half is described with the lexicon of the other. New texts
+get the lexicon of all rows. Calibration is cross-fitted: each of ``FOLDS`` parts of the rows gets margins
+from trees that the other parts taught, and the isotonic fit of all labels on these margins
+calibrates the trees of all rows.
+
+The sample to learn from is bounded by ``SAMPLE`` labelled ids (of more, those with the smallest
+hashes), so its ids are broadcast; of more than twice as many rows, as when documents repeat an id, those with
+the smallest hashes of text are taken, so its features may be gathered on the driver. What is
 scored is every row; a score needs one pass and no shuffle.
 
 Defined cases: a null text counts as empty and is scored; null labels and labels of unknown
 documents are ignored; with one class or none in the sample, the score is its share (0.5 without
-rows); other columns are ignored by ``classify`` and kept by ``clean``; rows with a null doc_id
-are scored and never learnt from.
+rows); repeated rows, and texts that tie, get equal scores; a text of any length is described in blocks; an
+empty table gives an empty result; other columns are ignored by ``classify`` and kept by ``clean``; rows
+with a null doc_id are scored and never learnt from.
 """
 
 from __future__ import annotations
@@ -24,16 +28,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import boost
 from marlstone.llm.profile import BAR, DIGIT, LINE, LOWER, OTHER, PUNCT, REST, SHOUT, STOP, SYMBOL, UPPER, class_counts, per_text
 from marlstone.llm.quality import SCORES, in_fold
+from marlstone.llm.quality import sample as sampled
 from marlstone.llm.session import checkpointed, map_batches
 from marlstone.llm.words import NOT_ALNUM, U64, Alphabet, Words, buffers, mix, slices
 
 SAMPLE = 40_000
+FOLDS = 3
 LEXICON = 4096
 MIN_DOCS = 3
 MIN_ODDS = 1.5
@@ -197,21 +204,6 @@ class Model:
         return np.interp(self.trees.margin(x), *self.knots)
 
 
-def _sample(labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """At most about ``limit`` labelled rows, the smallest hashes first: id, y, half, part; may be broadcast."""
-    h = F.xxhash64(F.lit(77), F.col("doc_id").cast("bigint"))
-    rows = labels.select(
-        F.col("doc_id").cast("bigint").alias("id"),
-        F.col(label).cast("int").alias("y"),
-        F.pmod(h, F.lit(2)).cast("int").alias("half"),
-        F.pmod(F.shiftrightunsigned(h, 8), F.lit(5)).cast("int").alias("part"),
-        F.pmod(F.shiftrightunsigned(h, 16), F.lit(1 << 30)).alias("rank"),
-    )
-    rows = rows.filter(F.col("y").isin(0, 1) & F.col("id").isNotNull())
-    n = rows.count()
-    return F.broadcast(rows.filter(F.col("rank") < int((1 << 30) * min(1.0, limit / max(n, 1)))).drop("rank"))
-
-
 def _term_counts(rows: DataFrame) -> DataFrame:
     """Texts that hold each term, by half of the sample and label; term 0 counts the texts themselves."""
 
@@ -256,25 +248,37 @@ def _seeded(rows) -> Lexicon:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
     """The model of rows of ``docs`` that ``labels`` marks; the caller chooses the rows."""
-    rows = docs.join(_sample(labels, label, sample), F.col("doc_id") == F.col("id"))
+    h = F.xxhash64(F.lit(78), F.col("doc_id"))
+    found = docs.join(sampled(labels, label, sample), F.col("doc_id") == F.col("id"))
+    rows = checkpointed(found.select("doc_id", "y", F.pmod(h, F.lit(2)).cast("int").alias("half"), F.pmod(F.shiftrightunsigned(h, 8), F.lit(FOLDS)).cast("int").alias("part"), "text"))
+    n = rows.count()
+    if n > 2 * sample:
+        rows = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * 2 * sample / n))
     lexicons = learn_lexicons(rows.select("y", "half", "text"))
 
     def each(batch):
-        half = batch.column("half").to_numpy()
-        x = np.where((half == 0)[:, None], features(batch.column("text"), lexicons[1]), features(batch.column("text"), lexicons[0]))
-        yield [batch.column("doc_id"), batch.column("y"), batch.column("part"), [v.tobytes() for v in x]]
+        half = batch.column("half")
+        for k in (0, 1):  # each half by the lexicon of the other
+            part = batch.filter(pc.equal(half, k))
+            yield [part.column("doc_id"), part.column("y"), part.column("part"), [v.tobytes() for v in features(part.column("text"), lexicons[1 - k])]]
 
-    got = map_batches(rows.select("doc_id", "y", "half", "part", "text"), each, "doc_id bigint, y int, part int, x binary").collect()
-    got.sort(key=lambda r: (r["doc_id"], r["x"]))
+    got = map_batches(rows, each, "doc_id bigint, y int, part int, x binary").collect()
+    got.sort(key=lambda r: (r["doc_id"], r["y"], r["x"]))
     x = np.frombuffer(b"".join(r["x"] for r in got), float).reshape(-1, FEATURES)
-    y, held = np.array([r["y"] for r in got], float), np.array([r["part"] == 0 for r in got], bool)
+    y, part = np.array([r["y"] for r in got], float), np.array([r["part"] for r in got])
     if not len(y) or y.min() == y.max():
         return Model(lexicons[2], None, (np.zeros(1), np.array([float(y.mean()) if len(y) else 0.5])))
-    if len(np.unique(y[held])) < 2 or y[held].sum() < 20:  # too few to calibrate apart
-        held = np.zeros(len(y), bool)
-    trees = boost.fit(x[~held], y[~held])
-    use = held if held.any() else ~held
-    return Model(lexicons[2], trees, boost.isotonic(trees.margin(x[use]), y[use]))
+    return Model(lexicons[2], boost.fit(x, y), boost.isotonic(cross_fitted(x, y, part), y))
+
+
+def cross_fitted(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The margin of each row by trees of the rows of other parts."""
+    margin = np.zeros(len(y))
+    for k in np.unique(part):
+        mine = part == k
+        rest = ~mine if not mine.all() else mine
+        margin[mine] = boost.fit(x[rest], y[rest]).margin(x[mine])
+    return margin
 
 
 def _training(docs: DataFrame, folds: int | None, fold: int | None) -> DataFrame:

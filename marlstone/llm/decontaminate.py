@@ -3,17 +3,21 @@
 Patterns are the 8-word windows of the benchmark (an item of fewer words is one pattern).
 Patterns of one length share a shift table: for each block of two words, how far the search
 may move on when the block ends at the current word. Where the shift is zero, the hash of the
-block selects a bucket of patterns, and the words of text and pattern are compared directly.
-The search moves through many segments of a batch at once, so each step is one NumPy call;
-most words are never looked at.
+block selects a bucket of patterns, and the words of text and pattern are compared: first their
+64-bit hashes, then, where all agree, their bytes. The search moves through many segments of a batch
+at once, so each step is one NumPy call; most words are never looked at.
 
-The tables hold a block of the benchmark of at most ``BLOCK_BYTES`` of text. A larger
-benchmark is searched block after block over the same rows; spans and items travel in a
-column, so no block adds a shuffle.
+The tables hold a block of the benchmark of at most ``BLOCK_BYTES`` of text (or one longer item). A
+larger benchmark is searched block after block over the same rows: the driver reads and builds one
+block at a time, its tables are broadcast for one pass and then dropped, and the rows with what was
+found go to the shared folder before the next pass. So neither memory nor the plan grows with
+the benchmark, and no block adds a shuffle.
 
 Defined cases: null and empty texts have no words; an item without words is no pattern; an
 item with null id counts as the item ''; several rows with one item_id are one item; an empty
-benchmark hits nothing; columns other than those read are ignored (``flag``) or kept (``clean``).
+benchmark hits nothing; an empty table gives an empty result; repeated rows are judged one by one; a text
+of any length is hashed in blocks, its words (8 bytes each) stand in memory together; columns other than
+those read are ignored (``flag``) or kept, whatever their names (``clean``).
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.session import map_batches
+from marlstone.llm.session import checkpointed, map_batches, unused
 from marlstone.llm.words import NOT_ALNUM, U64, Alphabet, Words, buffers, mix, slices
 
 WINDOW = 8
@@ -43,13 +47,12 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Patterns:
     """All patterns of one length: shift table, suffix buckets, and the items of each pattern."""
 
-    def __init__(self, length: int, patterns: np.ndarray, items: list[set[str]]):
+    def __init__(self, length: int, patterns: np.ndarray, spelt: list[bytes], items: list[set[str]]):
         self.m, self.b = length, min(2, length)
-        self.items = items
         ends = self._block(patterns, np.arange(length - self.b, length))
         order = np.argsort(ends, kind="stable")
         self.words, self.suffix = patterns[order], ends[order]
-        self.items = [items[i] for i in order]
+        self.items, self.spelt = [items[i] for i in order], [spelt[i] for i in order]
         self.shift = np.full(1 << _BITS, length - self.b + 1, np.int16)
         for at in range(length - self.b + 1):  # block that ends at at + b - 1
             key = self._slot(self._block(patterns, np.arange(at, at + self.b)))
@@ -92,17 +95,23 @@ class Patterns:
         return starts[same], pattern[same]
 
 
+def _spelling(raw: np.ndarray, w: Words, at: int, m: int) -> bytes:
+    """m words of ``raw`` in lower case, joined by spaces."""
+    return b" ".join(raw[w.starts[k] : w.ends[k]].tobytes().lower() for k in range(at, at + m))
+
+
 def patterns_of(items: list[tuple[str, str]], window: int = WINDOW) -> list[Patterns]:
     """Pattern groups of (item id, text) pairs, by length."""
     raw, offsets = buffers(pa.array([t for _, t in items], pa.string()))
-    w = Words(raw, offsets, Alphabet(NOT_ALNUM, lower=True))
-    groups: dict[int, dict[bytes, set[str]]] = {}
+    w = Words(raw, offsets, Alphabet(NOT_ALNUM, lower=True), places=True)
+    groups: dict[int, dict[bytes, tuple[bytes, set[str]]]] = {}
     for i, (item, _) in enumerate(items):
-        h = w.hashes[w.bounds[i] : w.bounds[i + 1]]
-        m = min(len(h), window)
-        for s in range(len(h) - m + 1 if m else 0):
-            groups.setdefault(m, {}).setdefault(h[s : s + m].tobytes(), set()).add(item)
-    return [Patterns(m, np.frombuffer(b"".join(g), U64).reshape(len(g), m), list(g.values())) for m, g in sorted(groups.items())]
+        first, last = w.bounds[i], w.bounds[i + 1]
+        m = min(int(last - first), window)
+        for at in range(first, last - m + 1 if m else first):
+            spelt = _spelling(raw, w, at, m)
+            groups.setdefault(m, {}).setdefault(spelt, (w.hashes[at : at + m].tobytes(), set()))[1].add(item)
+    return [Patterns(m, np.frombuffer(b"".join(h for h, _ in g.values()), U64).reshape(len(g), m), list(g), [i for _, i in g.values()]) for m, g in sorted(groups.items())]
 
 
 def _blocks(benchmark: DataFrame, limit: int):
@@ -128,12 +137,18 @@ def _occurrences(column: pa.Array, groups: list[Patterns]):
         w = Words(raw, offsets[first : last + 1], alphabet)
         spans: list[list[np.ndarray]] = [[] for _ in range(last - first)]
         items: list[set[str]] = [set() for _ in range(last - first)]
+        spelt = None
         for g in groups:
             starts, pattern = g.search(w.hashes, w.bounds)
             if not len(starts):
                 continue
             order = np.argsort(starts, kind="stable")
             starts, pattern = starts[order], pattern[order]
+            if spelt is None:
+                spelt = Words(raw, offsets[first : last + 1], alphabet, places=True)
+            # an occurrence is one of bytes, not of hashes
+            same = np.array([_spelling(raw, spelt, at, g.m) == g.spelt[p] for at, p in zip(starts, pattern, strict=True)], bool)
+            starts, pattern = starts[same], pattern[same]
             owner = np.searchsorted(w.bounds, starts, "right") - 1
             cut = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
             for a, b in zip(cut, np.r_[cut[1:], len(owner)], strict=True):
@@ -144,43 +159,38 @@ def _occurrences(column: pa.Array, groups: list[Patterns]):
         yield first, last, w.counts, spans, items
 
 
-def _search(docs: DataFrame, benchmark: DataFrame, window: int, limit: int, text: str = "text") -> DataFrame:
-    """``docs`` with columns __n, __spans, __items, __full (a whole window occurs) from all blocks of the benchmark."""
-    context = docs.sparkSession.sparkContext
-    out = docs.select("*", F.lit(0).cast("bigint").alias("__n"), F.lit(None).cast("binary").alias("__spans"), F.lit(None).cast("array<string>").alias("__items"), F.lit(False).alias("__full"))
-    names, schema = out.columns, out.schema
+def _search(docs: DataFrame, benchmark: DataFrame, window: int, limit: int) -> tuple[DataFrame, list[str]]:
+    """``docs`` with four columns more, and their names: words, spans, items, whether a whole window occurs."""
+    added = unused(docs, "n", "spans", "items", "full")
+    kinds = ("bigint", "binary", "array<string>", "boolean")
+    out = docs.select("*", *[F.lit(None).cast(k).alias(a) for a, k in zip(added, kinds, strict=True)])
+    names, schema, at = out.columns, out.schema, len(docs.columns)
+    text = next(i for i, c in enumerate(names) if c == "text")
 
     def step(df: DataFrame, tables) -> DataFrame:
         def run(batches):
             for batch in batches:
-                at = {n: i for i, n in enumerate(batch.schema.names)}
-                old_spans, old_items = batch.column(at["__spans"]).to_pylist(), batch.column(at["__items"]).to_pylist()
-                n, spans, items = [], [], []
-                for _, _, counts, s, i in _occurrences(batch.column(at[text]), tables.value):
+                _, old_spans, old_items, old_full = (c.to_pylist() for c in batch.columns[at:])
+                n, spans, items = [np.zeros(0, np.int64)], [], []
+                for _, _, counts, s, i in _occurrences(batch.column(text), tables.value):
                     n.append(counts)
                     spans += s
                     items += i
                 new_spans = [(a or b"") + b"".join(x.astype(np.int64).tobytes() for x in b) if a or b else None for a, b in zip(old_spans, spans, strict=True)]
                 new_items = [sorted(b.union(a or ())) if a or b else None for a, b in zip(old_items, items, strict=True)]
-                full = [a or any((x[:, 1] == window).any() for x in b) for a, b in zip(batch.column(at["__full"]).to_pylist(), spans, strict=True)]
-                columns = list(batch.columns)
-                columns[at["__full"]] = pa.array(full, pa.bool_())
-                columns[at["__n"]] = pa.array(np.concatenate(n) if n else np.zeros(0, np.int64), pa.int64())
-                columns[at["__spans"]] = pa.array(new_spans, pa.binary())
-                columns[at["__items"]] = pa.array(new_items, pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                full = [bool(a) or any((x[:, 1] == window).any() for x in b) for a, b in zip(old_full, spans, strict=True)]
+                new = [pa.array(np.concatenate(n), pa.int64()), pa.array(new_spans, pa.binary()), pa.array(new_items, pa.list_(pa.string())), pa.array(full, pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:at], *new], names=names)
 
         return df.mapInArrow(run, schema)
 
-    blocks = list(_tables(benchmark, window, limit))
-    for block in blocks or [[]]:
-        out = step(out, context.broadcast(block))
-    return out
-
-
-def _tables(benchmark: DataFrame, window: int, limit: int):
+    tables = None
     for block in _blocks(benchmark, limit):
-        yield patterns_of(block, window)
+        if tables is not None:  # the pass over the block before ends here, and its tables with it
+            out = checkpointed(step(out, tables))
+            tables.destroy()
+        tables = docs.sparkSession.sparkContext.broadcast(patterns_of(block, window))
+    return step(out, tables if tables is not None else docs.sparkSession.sparkContext.broadcast([])), added
 
 
 def _covered(spans: bytes) -> int:
@@ -195,15 +205,17 @@ def _covered(spans: bytes) -> int:
 def flag(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row of ``docs``."""
 
+    found, added = _search(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark, window, block_bytes)
+
     def digest(batch):
         none = hashlib.sha256(b"").hexdigest()
-        spans, items = batch.column("__spans").to_pylist(), batch.column("__items").to_pylist()
+        doc_id, n = batch.column(0), batch.column(1)
+        spans, items = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         count = [len(i or ()) for i in items]
         sha = [hashlib.sha256(",".join(i).encode()).hexdigest() if i else none for i in items]
-        yield [batch.column("doc_id"), batch.column("__n"), [_covered(s) if s else 0 for s in spans], count, sha, [c >= min_items for c in count]]
+        yield [doc_id, n, [_covered(s) if s else 0 for s in spans], count, sha, [c >= min_items for c in count]]
 
-    found = _search(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), benchmark, window, block_bytes)
-    return map_batches(found.drop("text"), digest, FLAGS)
+    return map_batches(found.select("doc_id", *added[:3]), digest, FLAGS)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -211,6 +223,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items
 
     An item shorter than a window may occur by chance, so one alone doesn't condemn a document.
     """
-    found = _search(docs, benchmark, window, block_bytes)
-    keep = ~F.col("__full") & (F.coalesce(F.size("__items"), F.lit(0)) < min_items)
+    found, (_, _, items, full) = _search(docs, benchmark, window, block_bytes)
+    keep = ~F.col(full) & (F.coalesce(F.size(items), F.lit(0)) < min_items)
     return found.filter(keep).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters outside each class; spaces are U+0020 alone, controls are in no class.
-CLASSES = {"letters": "[^A-Za-z]+", "digits": "[^0-9]+", "spaces": "[^ ]+", "punctuation": r"[^!-/:-@\[-`{-~]+"}
+#: First and last bytes of each class; spaces are U+0020 alone, controls are in no class.
+CLASSES = {"letters": ("AZ", "az"), "digits": ("09",), "spaces": ("  ",), "punctuation": ("!/", ":@", "[`", "{~")}
 NOT_ASCII = r"[^\x00-\x7F]+"
 
 
@@ -23,5 +25,7 @@ def ascii_total(column: str) -> Column:
     return F.coalesce(F.sum(kept(column, NOT_ASCII)), F.lit(0).cast("bigint"))
 
 
-def class_total(column: str, name: str) -> Column:
-    return F.coalesce(F.sum(kept(column, CLASSES[name])), F.lit(0).cast("bigint"))
+def in_class(byte: Column, name: str) -> Column:
+    """Whether a byte value is in a class."""
+    ranges = [byte.between(ord(first), ord(last)) for first, last in CLASSES[name]]
+    return reduce(Column.__or__, ranges)

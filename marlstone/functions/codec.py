@@ -69,13 +69,7 @@ def checksum_int(column: str) -> Column:
     return F.pmod(F.sum((u * F.lit(31).cast("decimal(3,0)")).cast("decimal(38,0)")), F.expr(_FULL)).cast("decimal(20,0)").cast("string")
 
 
-def byte_sum(column: str) -> Column:
-    """Sum of the bytes of a text."""
-    pairs = F.regexp_extract_all(F.hex(F.encode(F.col(column), "UTF-8")), F.lit("(..)"), F.lit(1))
-    return F.aggregate(F.transform(pairs, lambda b: F.conv(b, 16, 10).cast("bigint")), F.lit(0).cast("bigint"), lambda a, b: a + b)
-
-
-def checksum_str(column: str) -> Column:
-    """Aggregate: sum over texts of (sum of bytes times 37) times 31 modulo 2**64; as text."""
-    each = (byte_sum(column).cast("decimal(20,0)") * F.lit(37 * 31).cast("decimal(5,0)")).cast("decimal(38,0)")
-    return F.pmod(F.coalesce(F.sum(each), F.lit(0).cast("decimal(38,0)")), F.expr(_FULL)).cast("decimal(20,0)").cast("string")
+def checksum_bytes(byte: str, n: str) -> Column:
+    """Aggregate: of texts whose bytes a histogram gives, (sum of bytes times 37) times 31 modulo 2**64; as text."""
+    each = (F.col(byte) * F.col(n)).cast("decimal(28,0)") * F.lit(37 * 31).cast("decimal(5,0)")
+    return F.pmod(F.coalesce(F.sum(each.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")), F.expr(_FULL)).cast("decimal(20,0)").cast("string")

@@ -33,8 +33,8 @@ def int_averages(df: DataFrame) -> DataFrame:
     return _unpivot(df, {c: {"avg_value": F.when(F.count(quoted(c)) > 0, e["avg_value"])} for c, e in each.items()}).filter("avg_value is not null")
 
 
-def ascii_char_counts(df: DataFrame) -> DataFrame:
-    """column_name, ch, n of VARCHAR columns.
+def byte_counts(df: DataFrame) -> DataFrame:
+    """column_name, byte, n of VARCHAR columns: how often each byte value occurs.
 
     The histogram is taken over the bytes of whole Arrow buffers; the built-in way makes a row for
     every character and takes many times as long (figures in the README).
@@ -42,20 +42,25 @@ def ascii_char_counts(df: DataFrame) -> DataFrame:
     _, texts = split(df)
 
     def count(batches):
-        total = np.zeros((len(texts), 128), np.int64)
+        total = np.zeros((len(texts), 256), np.int64)
         for batch in batches:
             for i, column in enumerate(batch.columns):
                 column = column.drop_null()
                 _, offsets, data = column.buffers()
                 if data is not None and len(column):
                     off = np.frombuffer(offsets, np.int32 if pa.types.is_string(column.type) else np.int64, len(column) + 1, column.offset * (4 if pa.types.is_string(column.type) else 8))
-                    total[i] += np.bincount(np.frombuffer(data, np.uint8)[off[0] : off[-1]], minlength=256)[:128]
+                    total[i] += np.bincount(np.frombuffer(data, np.uint8)[off[0] : off[-1]], minlength=256)
         i, c = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array([chr(x) for x in c], pa.string()), pa.array(total[i, c], pa.int64())], names=["i", "ch", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(c, pa.int32()), pa.array(total[i, c], pa.int64())], names=["i", "byte", "n"])
 
-    counts = df.select(*[quoted(c) for c in texts]).mapInArrow(count, "i int, ch string, n bigint")
+    counts = df.select(*[quoted(c) for c in texts]).mapInArrow(count, "i int, byte int, n bigint")
     name = F.element_at(F.array(*[F.lit(c) for c in texts]), F.col("i") + 1)
-    return counts.groupBy(name.alias("column_name"), "ch").agg(F.sum("n").alias("n"))
+    return counts.groupBy(name.alias("column_name"), "byte").agg(F.sum("n").alias("n"))
+
+
+def ascii_char_counts(df: DataFrame) -> DataFrame:
+    """column_name, ch, n of VARCHAR columns."""
+    return byte_counts(df).filter("byte < 128").select("column_name", F.char("byte").alias("ch"), "n")
 
 
 def total_ascii(df: DataFrame) -> DataFrame:
@@ -117,5 +122,9 @@ def table_sums(df: DataFrame) -> DataFrame:
 def checksums(df: DataFrame) -> DataFrame:
     """column_name, checksum of every column: independent of row order, as unsigned text."""
     ints, texts = split(df)
-    per = {c: {"checksum": F.coalesce(codec.checksum_int(quoted(c)), F.lit("0"))} for c in ints}
-    return _unpivot(df, per | {c: {"checksum": codec.checksum_str(quoted(c))} for c in texts})
+    numbers = _unpivot(df, {c: {"checksum": F.coalesce(codec.checksum_int(quoted(c)), F.lit("0"))} for c in ints}) if ints else None
+    if not texts:
+        return numbers
+    names = df.sparkSession.createDataFrame([(c,) for c in texts], "name string")
+    sums = names.join(byte_counts(df), F.col("name") == F.col("column_name"), "left").groupBy(F.col("name").alias("column_name")).agg(codec.checksum_bytes("byte", "n").alias("checksum"))
+    return sums if numbers is None else numbers.unionByName(sums)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import chars, codec
-from marlstone.operators.metrics import _unpivot, ascii_char_counts, exact_sum
+from marlstone.operators.metrics import _unpivot, ascii_char_counts, byte_counts, exact_sum
 from marlstone.types import quoted, split
 
 #: Up to so many distinct values a text column is shown by frequencies, else by sample values.
@@ -41,7 +41,8 @@ def varchar_profile(df: DataFrame) -> DataFrame:
         size = chars.size(quoted(name))
         per[name] = {
             "n": F.count(quoted(name)),
-            "distinct_values": F.countDistinct(quoted(name)),
+            # of a 128-bit hash, so no text is shuffled
+            "distinct_values": F.count_distinct(F.when(F.col(quoted(name)).isNotNull(), F.struct(F.xxhash64(quoted(name)), F.xxhash64(F.lit(1), quoted(name))))),
             "mean_bytes": F.when(F.count(quoted(name)) > 0, F.sum(size).cast("double") / F.count(quoted(name))),
             "min_bytes": F.min(size),
             "max_bytes": F.max(size),
@@ -74,9 +75,11 @@ def categorical_frequency(df: DataFrame, columns: list[str] | None = None, limit
 
 
 def char_classes(df: DataFrame) -> DataFrame:
-    """column_name, letters, digits, spaces, punctuation: ASCII characters of each class."""
-    _, texts = split(df)
-    return _unpivot(df, {c: {k: chars.class_total(quoted(c), k) for k in chars.CLASSES} for c in texts})
+    """column_name, letters, digits, spaces, punctuation: ASCII characters of each class, from the histogram of bytes."""
+    names = df.sparkSession.createDataFrame([(c,) for c in split(df)[1]], "name string")
+    counts = names.join(byte_counts(df), F.col("name") == F.col("column_name"), "left")
+    sums = [F.coalesce(F.sum(F.when(chars.in_class(F.col("byte"), k), F.col("n"))), F.lit(0).cast("bigint")).alias(k) for k in chars.CLASSES]
+    return counts.groupBy(F.col("name").alias("column_name")).agg(*sums)
 
 
 def topk_chars(df: DataFrame, k: int = 5) -> DataFrame:

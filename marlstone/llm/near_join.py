@@ -20,8 +20,6 @@ Steps:
    documents share sends one row for each batch to the task that compares its ids.
 3. Test each member against its pivot, form components; then test members of a signature that
    lie in different components against each other. Linked sets of one component need no test.
-   A signature with many such members is refined: they sign again under another seed, where sets that
-   link share a signature too, and meet only where they share both.
 Tests: a parity sketch of each set bounds the difference from below and rules out most pairs
 exactly; the rest are verified on the sets themselves (64-bit hashes of n-grams), member after member
 against a pivot that the task holds once. Pairs are formed inside blocks of at most ``GROUP`` members,
@@ -41,7 +39,7 @@ n-gram) stands in memory whole; an empty table gives an empty result; other colu
 from __future__ import annotations
 
 import math
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -66,8 +64,6 @@ GROUP = 2048
 COUNT_MEMBERS, COUNT_ELEMENTS = 1024, 1 << 20
 KEYS = ["h1", "h2", "n"]
 SKETCH_BITS = 4096
-#: Rounds of refinement of a signature whose members lie in many components, and its blocks from which it pays.
-ROUNDS, CROWD = 3, 3
 
 
 def differing(total: int, percent: int) -> int:
@@ -148,8 +144,8 @@ class Sets:
         packed = np.packbits((np.bincount(cell, minlength=base[-1]) & 1).astype(np.uint8))
         return [packed[a // 8 : b // 8].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)]
 
-    def signatures(self, percent: int, salt: int = 0) -> list[np.ndarray]:
-        """The signatures of each set; another salt gives others that serve as well."""
+    def signatures(self, percent: int) -> list[np.ndarray]:
+        """The signatures of each set."""
         found: list[list[np.ndarray]] = [[] for _ in self.sizes]
         if not len(self.values):
             return [np.zeros(0, U64) for _ in self.sizes]
@@ -159,7 +155,7 @@ class Sets:
             for seed in range(16):
                 if not len(todo):
                     break
-                todo = self._sign(found, todo, U64(mix(np.array([(salt << 48) + high * 64 + seed], U64))[0]), n1, need, n2, k2)
+                todo = self._sign(found, todo, U64(mix(np.array([high * 64 + seed], U64))[0]), n1, need, n2, k2)
             for t in todo:  # improbable: every seed left it with empty subsets
                 found[t].append(mix(np.array([high], U64)))
         return [np.concatenate(f) if f else np.zeros(0, U64) for f in found]
@@ -204,14 +200,14 @@ def fingerprints(texts: DataFrame, n: int) -> DataFrame:
     return map_batches(texts, each, "doc_id bigint, n bigint, h1 bigint, h2 bigint, sketch binary")
 
 
-def signatures(texts: DataFrame, n: int, percent: int, salt: int = 0) -> DataFrame:
+def signatures(texts: DataFrame, n: int, percent: int) -> DataFrame:
     """sign, doc, pivot: the smallest doc of the batch that has the signature, null for that doc itself."""
 
     def each(batch):
         docs, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         ids = batch.column("doc_id").to_numpy()
         for first, last, s in _each_set(batch.column("text"), n):
-            found = s.signatures(percent, salt)
+            found = s.signatures(percent)
             docs.append(np.repeat(ids[first:last], [len(f) for f in found]))
             signs += [f.view(np.int64) for f in found]
         doc, sign = np.concatenate(docs), np.concatenate(signs)
@@ -300,7 +296,7 @@ def _passing(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(passing: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs whose sets reach the similarity: members b stream past the set of a, in blocks of ``GROUP``."""
+    """The pairs whose sets reach the similarity: members b stream past the set of a, which has one a batch at most, and those of its own."""
 
     def sets(batch):
         for first, last, s in _each_set(batch.column("text"), n):
@@ -309,15 +305,15 @@ def _verified(passing: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
     def run(batches):
         held, key = [], None
         for batch in batches:
-            a, block, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "block", "b"))
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in "ab")
             pivot, elements = batch.column("kind").to_numpy() == 0, batch.column("elements")
-            begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (block[1:] != block[:-1]) | (pivot[1:] != pivot[:-1])])
+            begin = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (pivot[1:] != pivot[:-1])])
             out = []
             for i, j in zip(begin, np.r_[begin[1:], len(a)], strict=True):
                 part = elements.slice(i, j - i)
                 if pivot[i]:
                     new = [np.frombuffer(e, U64) for e in part.to_pylist()]
-                    held, key = (held if key == (a[i], block[i]) else []) + new, (a[i], block[i])
+                    held, key = (held if key == a[i] else []) + new, a[i]
                     continue
                 data = np.frombuffer(b"".join(part.to_pylist()), U64)
                 size = (pc.binary_length(part).to_numpy() // 8).astype(np.int64)
@@ -333,39 +329,24 @@ def _verified(passing: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
 
     chosen, _ = few(passing.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     found = checkpointed(map_batches(texts.join(chosen, F.col("doc_id") == F.col("id"), "left_semi"), sets, "doc_id bigint, elements binary"))
-    large, _ = few(passing.groupBy("a").count().filter(F.col("count") > GROUP).select(F.col("a").alias("of"), F.ceil(F.col("count") / GROUP).cast("int").alias("blocks")))
-    pairs = passing.join(large, F.col("a") == F.col("of"), "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"))
-    heads = pairs.select("a", "block").distinct().join(found, F.col("a") == F.col("doc_id")).select("a", "block", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("b"), "elements")
-    members = pairs.join(found, F.col("b") == F.col("doc_id")).select("a", "block", F.lit(1).alias("kind"), "b", "elements")
-    rows = heads.unionByName(members).repartition("a", "block").sortWithinPartitions("a", "block", "kind")
+    heads = passing.select("a").distinct().join(found, F.col("a") == F.col("doc_id")).select("a", F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("b"), "elements")
+    members = passing.join(found, F.col("b") == F.col("doc_id")).select("a", F.lit(1).alias("kind"), "b", "elements")
+    rows = heads.unionByName(members).repartition("a").sortWithinPartitions("a", "kind")
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _across(members: DataFrame, prints: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     """Pairs of members (sign, doc, component) of a signature in different components that pass.
 
     The component of the smallest member is the main one; its members need not meet each other, only the
     rest. Both sides are cut in blocks of GROUP, and each pair of a main block and a block of the rest,
-    or of two blocks of the rest, is a group of its own. Members of a signature with more than ``CROWD``
-    groups are signed again, under another salt, and meet only where they share a signature of both.
+    or of two blocks of the rest, is a group of its own.
     """
-    met = []
-    for salt in range(ROUNDS + 1):
-        mixed = members.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "doc").alias("main"))
-        mixed, _ = few(mixed.filter("low < high").select("sign", "main"))
-        rows = members.join(mixed, "sign").select("sign", "doc", "component", (F.col("component") == F.col("main")).alias("in_main"))
-        size = lambda side: F.ceil(F.sum(F.when(side, 1).otherwise(0)) / F.lit(GROUP)).cast("int")
-        blocks, _ = few(rows.groupBy("sign").agg(size(F.col("in_main")).alias("bm"), size(~F.col("in_main")).alias("bf")))
-        rows = checkpointed(rows.join(blocks, "sign"))
-        crowded = F.col("bf") * (F.col("bm") + (F.col("bf") + 1) / 2) > CROWD
-        met.append(checkpointed(_meeting(rows if salt == ROUNDS else rows.filter(~crowded), prints, percent)))
-        rest = rows.filter(crowded)
-        if salt == ROUNDS or rest.isEmpty():
-            break
-        ids, _ = few(rest.select(F.col("doc").alias("id")).distinct())
-        again = signatures(texts.join(ids, F.col("doc_id") == F.col("id"), "left_semi"), words, percent, salt + 1).select(F.col("doc").alias("of"), F.col("sign").alias("next"))
-        members = rest.join(again, F.col("doc") == F.col("of")).select(F.xxhash64("sign", "next").alias("sign"), "doc", "component")
-    return reduce(DataFrame.unionByName, met).distinct()
+    mixed = members.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "doc").alias("main")).filter("low < high")
+    rows = members.join(mixed.select("sign", "main"), "sign").select("sign", "doc", "component", (F.col("component") == F.col("main")).alias("in_main"))
+    size = lambda side: F.ceil(F.sum(F.when(side, 1).otherwise(0)) / F.lit(GROUP)).cast("int")
+    blocks = rows.groupBy("sign").agg(size(F.col("in_main")).alias("bm"), size(~F.col("in_main")).alias("bf"))
+    return _meeting(rows.join(blocks, "sign"), prints, percent).distinct()
 
 
 def _meeting(rows: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
@@ -445,7 +426,7 @@ def _found(texts: DataFrame, words: int, percent: int) -> DataFrame:
     links = checkpointed(_verified(checkpointed(_passing(stars, known, percent)), texts, words, percent))
     parts = checkpointed(components(links))
     named = members.join(parts, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
-    more = checkpointed(_across(named.select("sign", "doc", "component"), known, texts, words, percent))
+    more = checkpointed(_across(named.select("sign", "doc", "component"), known, percent))
     if not more.isEmpty():
         further = checkpointed(_verified(more, texts, words, percent))
         if not further.isEmpty():

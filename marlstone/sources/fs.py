@@ -66,6 +66,8 @@ class Files:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    """A new folder below ``spark.checkpoint.dir``; where that is unset and all runs on one machine (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{root.rstrip('/')}/marlstone-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="marlstone-")

@@ -38,7 +38,7 @@ from marlstone.llm.words import SPACE, Alphabet, Words, buffers, slices
 
 CAP = 3
 MAX_SOURCES = 100_000
-BUCKET_ROWS = 200_000
+BUCKET_ROWS = 500
 PHASES = 16
 _UNIT = 1 << 30
 _ROUNDS = 200

@@ -21,10 +21,11 @@ Steps:
 3. Test each member against its pivot, form components; then test members of a signature that
    lie in different components against each other. Linked sets of one component need no test.
 Tests: a parity sketch of each set bounds the difference from below and rules out most pairs
-exactly; the rest are verified on the sets themselves (64-bit hashes of n-grams), member after member
-against a pivot that the task holds once. Pairs are formed inside blocks of at most ``GROUP`` members,
-in tasks, and only those that pass the sketch leave the task, so a large group of near copies costs
-rows in proportion to its members. No step gathers rows on the driver.
+exactly; the rest are verified on the sets themselves (64-bit hashes of n-grams): members of a signature
+one after another against a pivot that the task holds once, then what the sketches connect in
+blocks. Pairs are formed inside blocks, in tasks; a block gives at most one pair for each member, a
+spanning forest of the pairs that pass, so a large group of near copies costs rows in proportion to
+its members. No step gathers rows on the driver.
 4. To count links (``linked``), all sets of a component meet each other in blocks, once each pair, on
    the sets themselves; only the counts leave the task. Links never lie between components.
 
@@ -335,22 +336,42 @@ def _verified(passing: DataFrame, texts: DataFrame, n: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _across(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """Pairs of members (sign, doc, component) of a signature in different components that pass.
+def _forest(comp: np.ndarray, near) -> list[tuple[int, int]]:
+    """Edges of a spanning forest over rows, of those that ``near(i, rest)`` finds of rows ``rest`` for row i.
 
-    The component of the smallest member is the main one; its members need not meet each other, only the
-    rest. Both sides are cut in blocks of GROUP, and each pair of a main block and a block of the rest,
-    or of two blocks of the rest, is a group of its own.
+    Rows of one component hang together without an edge. At most one edge for each row.
     """
-    mixed = members.groupBy("sign").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min_by("component", "doc").alias("main")).filter("low < high")
-    rows = members.join(mixed.select("sign", "main"), "sign").select("sign", "doc", "component", (F.col("component") == F.col("main")).alias("in_main"))
-    size = lambda side: F.ceil(F.sum(F.when(side, 1).otherwise(0)) / F.lit(GROUP)).cast("int")
-    blocks = rows.groupBy("sign").agg(size(F.col("in_main")).alias("bm"), size(~F.col("in_main")).alias("bf"))
-    return _meeting(rows.join(blocks, "sign"), prints, percent).distinct()
+    rest, out = np.arange(len(comp)), []
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            i = todo.pop()
+            hit, same = near(i, rest), comp[rest] == comp[i]
+            out += [(i, j) for j in rest[hit & ~same]]
+            todo.extend(rest[hit | same])
+            rest = rest[~(hit | same)]
+    return out
+
+
+def _placed(members: DataFrame, most: int, elements: int | None = None) -> DataFrame:
+    """sign, group, side, doc, component of members (sign, doc, component, n) whose sign has several components.
+
+    The component with most members is the main one; its members need not meet each other, only the
+    rest. Both sides are cut in blocks of about ``most`` members (and ``elements``), and each pair of a main
+    block and a block of the rest, or of two blocks of the rest, is a group of its own.
+    """
+    sizes = members.groupBy("sign", "component").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("sign").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("m", "component")).alias("main")).filter("parts > 1")
+    rows = members.join(mixed.select("sign", "main"), "sign").withColumn("in_main", F.col("component") == F.col("main"))
 
+    def size(side):
+        by = F.sum(F.when(side, 1).otherwise(0)) / F.lit(most)
+        if elements is not None:
+            by = F.greatest(by, F.sum(F.when(side, F.col("n")).otherwise(0)) / F.lit(elements))
+        return F.ceil(by).cast("int")
 
-def _meeting(rows: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """Pairs of rows (sign, doc, component, in_main, bm and bf: blocks of either side) that pass."""
+    blocks = rows.groupBy("sign").agg(size(F.col("in_main")).alias("bm"), size(~F.col("in_main")).alias("bf"))
+    rows = rows.join(blocks, "sign")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("doc"), F.when(F.col("in_main"), F.col("bm")).otherwise(F.col("bf"))).cast("int"))
     own, bm, bf = F.col("own"), F.col("bm"), F.col("bf")
     upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda x: x < n)
@@ -358,37 +379,22 @@ def _meeting(rows: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
     main = F.transform(upto(bf), lambda j: place(own * bf + j, F.lit(-1)))
     other = F.transform(upto(bm), lambda i: place(i * bf + own, F.lit(-2)))
     among = F.transform(upto(bf), lambda j: place(bm * bf + F.least(own, j) * bf + F.greatest(own, j), own))
-    rows = rows.withColumn("at", F.explode(F.when(F.col("in_main"), main).otherwise(F.concat(other, among)))).select("sign", "at.group", "at.side", "doc", "component")
-    rows = rows.join(prints.select(F.col("doc_id").alias("id"), "n", "sketch"), F.col("doc") == F.col("id"))
-    rows = rows.select("sign", "group", "side", "doc", "component", "n", "sketch").repartition("sign", "group").sortWithinPartitions("sign", "group")
+    return rows.withColumn("at", F.explode(F.when(F.col("in_main"), main).otherwise(F.concat(other, among)))).select("sign", "at.group", "at.side", "doc", "component")
 
-    def pairs(group):
-        side, doc, comp, n, sketch = group
-        if len(set(comp)) < 2:
-            return
-        bits = 8 * min(len(s) for s in sketch)
-        words = np.stack([_words(s, bits) for s in sketch])
-        side, doc, comp, n = (np.array(v) for v in (side, doc, comp, n))
-        cross = side.min() != side.max()
-        step = max(1, (1 << 20) // max(1, words.size))
-        for i in range(0, len(doc), step):
-            mine = slice(i, i + step)
-            ok = (comp[mine, None] != comp[None, :]) & (doc[mine, None] < doc[None, :])
-            if cross:
-                ok &= side[mine, None] != side[None, :]
-            r, c = np.nonzero(ok)
-            differ = np.bitwise_count(words[r + i] ^ words[c]).sum(1, dtype=np.int64)
-            hit = _may_link(n[r + i], n[c], differ, percent)
-            yield doc[r[hit] + i], doc[c[hit]]
+
+def _by_group(rows: DataFrame, edges) -> DataFrame:
+    """Runs ``edges(side, doc, comp, data...)`` on each group (sign, group, then these columns) of ``rows``; it returns pairs of row numbers."""
 
     def run(batches):
         held, key = [], None
 
         def flush():
-            seen = [np.stack(p) for p in pairs(tuple(map(list, zip(*held, strict=True))))] if len(held) > 1 else []
-            if seen:
-                a, b = np.concatenate(seen, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            side, doc, comp, *data = zip(*held, strict=True) if len(held) > 1 else ((), (), ())
+            if len(set(comp)) > 1:
+                doc = np.array(doc, np.int64)
+                pairs = np.array(edges(np.array(side), np.array(comp), *data), np.int64).reshape(-1, 2)
+                if len(pairs):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[pairs].min(1)), pa.array(doc[pairs].max(1))], names=["a", "b"])
 
         for batch in batches:
             for sign, group, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -398,7 +404,62 @@ def _meeting(rows: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
                 held.append(row)
         yield from flush()
 
-    return rows.mapInArrow(run, "a bigint, b bigint").distinct()
+    rows = rows.repartition("sign", "group").sortWithinPartitions("sign", "group")
+    return rows.mapInArrow(run, "a bigint, b bigint").filter("a < b").distinct()
+
+
+def _across(members: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """Pairs that connect all members (sign, doc, component) of a signature, in different components, that sizes and sketches let link.
+
+    Of the pairs that pass, a block gives a spanning forest only, so rows grow with the members.
+    """
+
+    def edges(side, comp, n, sketch):
+        bits = 8 * min(len(s) for s in sketch)
+        words, n = np.stack([_words(s, bits) for s in sketch]), np.array(n)
+        cross = side.min() != side.max()
+
+        def near(i, rest):
+            ok = _may_link(n[i], n[rest], np.bitwise_count(words[rest] ^ words[i]).sum(-1, dtype=np.int64), percent)
+            return ok & (side[rest] != side[i]) if cross else ok
+
+        if len(n) > 64:
+            return _forest(comp, near)
+        differ = np.bitwise_count(words[:, None] ^ words[None]).sum(2, dtype=np.int64)
+        ok = _may_link(n[:, None], n[None], differ, percent) & (comp[:, None] != comp[None])
+        if cross:
+            ok &= side[:, None] != side[None]
+        return _forest(comp, lambda i, rest: ok[i, rest]) if ok.any() else []
+
+    rows = _placed(members.withColumn("n", F.lit(1)), GROUP)
+    rows = rows.join(prints.select(F.col("doc_id").alias("id"), "n", "sketch"), F.col("doc") == F.col("id"))
+    return _by_group(rows.select("sign", "group", "side", "doc", "component", "n", "sketch"), edges)
+
+
+def _joining(near: DataFrame, links: DataFrame, parts: DataFrame, prints: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links, verified on the sets, that join components; ``near`` connects all documents of which two may link.
+
+    What ``near`` and ``links`` connect meets in blocks; a block gives a spanning forest of its links.
+    """
+
+    def edges(side, comp, elements):
+        ok = _alike(elements, percent)
+        if side.min() != side.max():
+            ok &= side[:, None] != side[None]
+        return _forest(comp, lambda i, rest: ok[i, rest])
+
+    def sets(batch):
+        for first, last, s in _each_set(batch.column("text"), words):
+            yield [batch.column("doc_id").slice(first, last - first), s.elements()]
+
+    wide = components(near.unionByName(links)).select(F.col("node").alias("doc"), F.col("component").alias("sign"))
+    rows = wide.join(parts, F.col("doc") == F.col("node"), "left").select("sign", "doc", F.coalesce("component", "doc").alias("component"))
+    size = prints.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n"))
+    rows = checkpointed(_placed(rows.join(size, F.col("doc") == F.col("id")).drop("id"), COUNT_MEMBERS, COUNT_ELEMENTS))
+    chosen, _ = few(rows.select(F.col("doc").alias("id")).distinct())
+    found = map_batches(texts.join(chosen, F.col("doc_id") == F.col("id"), "left_semi"), sets, "doc_id bigint, elements binary")
+    rows = rows.join(found, F.col("doc") == F.col("doc_id"))
+    return _by_group(rows.select("sign", "group", "side", "doc", "component", "elements"), edges)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -428,7 +489,7 @@ def _found(texts: DataFrame, words: int, percent: int) -> DataFrame:
     named = members.join(parts, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
     more = checkpointed(_across(named.select("sign", "doc", "component"), known, percent))
     if not more.isEmpty():
-        further = checkpointed(_verified(more, texts, words, percent))
+        further = checkpointed(_joining(more, links, parts, known, texts, words, percent))
         if not further.isEmpty():
             parts = checkpointed(components(links.unionByName(further)))
     by_rep = copies.join(parts, F.col("rep") == F.col("node"), "left").select(*KEYS, F.coalesce("component", "rep").alias("of_copy"))
@@ -442,8 +503,8 @@ def join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFra
     return _found(_texts(docs), words, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
-def _links(side: np.ndarray, cross: bool, weight: np.ndarray, elements: list[bytes], percent: int) -> np.ndarray:
-    """For each set of a group the weights of the others, of the other side if ``cross``, that link with it."""
+def _alike(elements: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a group reach the similarity with which."""
     n = np.array([len(e) // 8 for e in elements], np.int64)
     m, owner = len(n), np.repeat(np.arange(len(n)), n)
     _, which, times = np.unique(np.frombuffer(b"".join(elements), U64), return_inverse=True, return_counts=True)
@@ -465,8 +526,13 @@ def _links(side: np.ndarray, cross: bool, weight: np.ndarray, elements: list[byt
         part[owner[here], column[here] - low] = 1
         both += (part @ part.T).astype(np.int64)
     both += int((times == m).sum())
-    ok = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    ok &= side[:, None] != side[None, :] if cross else ~np.eye(m, dtype=bool)
+    return 100 * both >= percent * (n[:, None] + n[None, :] - both)
+
+
+def _links(side: np.ndarray, cross: bool, weight: np.ndarray, elements: list[bytes], percent: int) -> np.ndarray:
+    """For each set of a group the weights of the others, of the other side if ``cross``, that link with it."""
+    ok = _alike(elements, percent)
+    ok &= side[:, None] != side[None, :] if cross else ~np.eye(len(side), dtype=bool)
     return ok @ weight
 
 

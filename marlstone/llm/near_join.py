@@ -455,7 +455,8 @@ def _joining(near: DataFrame, links: DataFrame, parts: DataFrame, prints: DataFr
     wide = components(near.unionByName(links)).select(F.col("node").alias("doc"), F.col("component").alias("sign"))
     rows = wide.join(parts, F.col("doc") == F.col("node"), "left").select("sign", "doc", F.coalesce("component", "doc").alias("component"))
     size = prints.groupBy(F.col("doc_id").alias("id")).agg(F.sum("n").alias("n"))
-    rows = checkpointed(_placed(rows.join(size, F.col("doc") == F.col("id")).drop("id"), COUNT_MEMBERS, COUNT_ELEMENTS))
+    rows = checkpointed(rows.join(size, F.col("doc") == F.col("id")).drop("id"))
+    rows = checkpointed(_placed(rows, COUNT_MEMBERS, COUNT_ELEMENTS))
     chosen, _ = few(rows.select(F.col("doc").alias("id")).distinct())
     found = map_batches(texts.join(chosen, F.col("doc_id") == F.col("id"), "left_semi"), sets, "doc_id bigint, elements binary")
     rows = rows.join(found, F.col("doc") == F.col("doc_id"))

@@ -59,6 +59,27 @@ def test_crowds_that_share_signatures_and_do_not_link(spark, monkeypatch):
     assert sorted(tuple(x) for x in got) == want and 1 < len({c for _, _, c in want}) < 30
 
 
+def test_a_group_of_near_copies_gives_few_pairs():
+    comp, calls = np.arange(300) // 3, []
+    edges = near_join._forest(comp, lambda i, rest: calls.append(i) or np.ones(len(rest), bool))
+    assert len(edges) < 300 and len(calls) == 1
+    r = np.random.default_rng(1)
+    ok = np.triu(r.random((90, 90)) < 0.02, 1)
+    ok |= ok.T
+    edges = near_join._forest(comp[:90], lambda i, rest: ok[i, rest])
+    assert all(ok[i, j] for i, j in edges)
+    linked = lambda extra: set(map(tuple, near_components(90, [(i, i + 1) for i in range(89) if comp[i] == comp[i + 1]] + extra)))
+    assert linked(edges) == linked(list(zip(*np.nonzero(ok), strict=True)))
+
+
+def near_components(n, links):
+    label = list(range(n))
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = [x if v == y else v for v in label]
+    return [[i for i in range(n) if label[i] == k] for k in sorted(set(label))]
+
+
 def test_ids_too_many_to_broadcast(spark, monkeypatch):
     monkeypatch.setattr(session, "FEW", 0)
     texts = odd_texts(3)
@@ -151,7 +172,9 @@ def test_sketches_never_exceed_the_difference(seed, x, y, shared):
     assert differ <= len(np.setxor1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("at_once", [0, 500_000])
+def test_components(spark, monkeypatch, at_once):
+    monkeypatch.setattr(session, "FEW", at_once)
     links = [(1, 2), (2, 3), (10, 9), (9, 8), (8, 7), (5, 5), (3, 1)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 300 + i) for i in range(50)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got[3] == got[2] == got[1] == 1 and got[10] == 7 and 5 not in got

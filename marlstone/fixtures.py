@@ -9,6 +9,26 @@ from marlstone.sources.tables import from_columns
 
 I64 = (1 << 63) - 1
 
+# Rows of the small sample tables.
+EMPLOYEE = {
+    "employee_id": [1001, 1002, 1003, 1004, 1005, 1006, 1007, 1008],
+    "salary": [65000, 72000, 58000, 85000, 91000, 67000, 73000, 79000],
+    "name": ["John Smith", "Sarah Johnson", "Michael Brown", "Emily Davis", "David Wilson", "Lisa Anderson", "Robert Taylor", "Jennifer Martinez"],
+    "department": ["Engineering", "Marketing", "Sales", "Engineering", "Management", "Sales", "Marketing", "Engineering"],
+}
+SALES = {
+    "transaction_id": list(range(2001, 2021)),
+    "amount": [150, 275, 89, 450, 320, 125, 680, 95, 380, 220, 540, 175, 295, 410, 85, 625, 190, 355, 480, 165],
+    "product": ["Laptop", "Mouse", "Keyboard", "Monitor", "Tablet", "Headphones", "Smartphone", "Cable", "Laptop", "Mouse", "Webcam", "Speaker", "Tablet", "Monitor", "Cable", "Smartphone", "Keyboard", "Laptop", "Webcam", "Headphones"],
+}
+STUDENT_GRADES = {
+    "student_id": list(range(3001, 3013)),
+    "math_score": [88, 92, 76, 94, 85, 91, 78, 89, 96, 82, 87, 93],
+    "english_score": [91, 87, 89, 88, 92, 85, 94, 86, 90, 95, 83, 89],
+    "science_score": [85, 90, 82, 91, 88, 87, 92, 89, 93, 86, 91, 94],
+    "student_name": ["Alex Chen", "Maria Garcia", "James Wilson", "Emma Thompson", "Oliver Brown", "Sophia Martinez", "Lucas Anderson", "Ava Johnson", "Noah Davis", "Isabella Miller", "William Taylor", "Mia Moore"],
+}
+
 
 def simple(spark: SparkSession) -> DataFrame:
     return from_columns(spark, {"id": [1, 2, 3, 4, 5], "name": ["Alice", "Bob", "Charlie", "Diana", "Eve"]})
@@ -39,10 +59,17 @@ def batches(spark: SparkSession, n: int = 10_000_000) -> DataFrame:
 
 
 def write_all(spark: SparkSession, folder: str, rows: int = 10_000_000) -> list[str]:
-    """Writes every sample as column files below ``folder``."""
+    """Writes every sample as column files below ``folder``, and beside each a text of its metrics and size."""
+    from marlstone.operators import metrics
     from marlstone.sources import storage
+    from marlstone.sources.fs import Files
 
+    small = {"employee": EMPLOYEE, "sales": SALES, "student_grades": STUDENT_GRADES}
     samples = {"simple": simple(spark), "extremes": extremes(spark), "large": large(spark, rows), "batches": batches(spark, rows)}
+    samples |= {name: from_columns(spark, values) for name, values in small.items()}
+    files = Files(spark)
     for name, df in samples.items():
-        storage.write(storage.with_rows(df), f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        storage.write(storage.with_rows(df), path)
+        files.replace(f"{path}.txt", f"{metrics.report(df)}\nfile size: {files.size(path)} bytes\n".encode())
     return list(samples)

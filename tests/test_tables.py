@@ -172,3 +172,26 @@ def test_any_rows_survive_csv(spark, tmp_path, rows):
     path = tmp_path / "h.csv"
     path.write_bytes("".join(f'{n},"{t.replace(chr(34), chr(34) * 2)}"\n' for n, t in rows).encode())
     assert [tuple(r) for r in csv.read(spark, str(path), ID_NAME).orderBy(ROW).drop(ROW).collect()] == rows
+
+
+def test_samples_have_goldens(spark, tmp_path):
+    from marlstone import fixtures
+
+    names = fixtures.write_all(spark, str(tmp_path), rows=1000)
+    text = {n: (tmp_path / f"{n}.txt").read_text() for n in names}
+    assert len(names) == 7 and "rows: 8\ncolumns: 4\n" in text["employee"] and "average 73750.00" in text["employee"]
+    assert "average 305.20" in text["sales"] and sum(fixtures.SALES["amount"]) == 6104
+    assert all(f"average {a}" in text["student_grades"] for a in ("87.58", "89.08", "89.00"))
+    assert "average 499.50" in text["large"] and all("file size: " in t for t in text.values())
+    back = storage.read(spark, str(tmp_path / "batches")).orderBy("id_numbers").collect()
+    assert len(back) == 1000 and (back[7]["id_numbers"], back[7]["categories"]) == (7, "category_C_0")
+
+
+def test_sizes_of_written_batches(spark, tmp_path):
+    df = spark.range(0, 2500, 1, 1).selectExpr("id", "concat('item ', id) AS name")
+    storage.write(df, str(tmp_path / "t"), 1000)
+    got = storage.row_groups(spark, str(tmp_path / "t")).collect()
+    assert sorted((r["column_name"], r["batch"], r["start_row"], r["row_count"]) for r in got) == [(c, b, 1000 * b, min(1000, 2500 - 1000 * b)) for c in ("id", "name") for b in range(3)]
+    assert all(0 < r["compressed_size"] for r in got)
+    storage.write(df.limit(0), str(tmp_path / "e"))
+    assert storage.row_groups(spark, str(tmp_path / "e")).count() == 0

@@ -57,8 +57,14 @@ def openapi() -> dict:
     return {"openapi": "3.0.3", "info": {"title": "Columnar analytics", "version": INTERFACE_VERSION}, "paths": paths, "components": {"schemas": schemas}}
 
 
-PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>API</title></head><body><h1>API</h1><dl id="d"></dl><script>
+PAGE = """<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>API</title></head><body><h1>API</h1><script>
+const add = (to, tag, text) => { const e = document.createElement(tag); e.textContent = text || ''; to.append(e); return e; };
 fetch('/api-docs/openapi.json').then(r => r.json()).then(s => { for (const [p, ms] of Object.entries(s.paths)) for (const [m, o] of Object.entries(ms)) {
-const t = document.createElement('dt'), v = document.createElement('dd'); t.textContent = m.toUpperCase() + ' ' + p;
-v.textContent = Object.entries(o.responses).map(([c, r]) => c + ': ' + r.description).join('; '); d.append(t, v); } });
+const f = add(document.body, 'form'); add(f, 'h3', m.toUpperCase() + ' ' + p);
+add(f, 'p', Object.entries(o.responses).map(([c, r]) => c + ': ' + r.description).join('; '));
+const path = add(f, 'input'); path.value = p; path.size = 60;
+const body = m === 'get' ? null : add(f, 'textarea'); add(f, 'button', 'Send'); const out = add(f, 'pre');
+f.onsubmit = e => { e.preventDefault(); const sent = {method: m.toUpperCase()};
+if (body && body.value) { sent.body = body.value; sent.headers = {'Content-Type': 'application/json'}; }
+fetch(path.value, sent).then(async r => { out.textContent = r.status + ' ' + await r.text(); }, x => { out.textContent = x; }); }; } });
 </script></body></html>"""

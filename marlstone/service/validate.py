@@ -54,6 +54,9 @@ class Validator:
     def expect(self, method: str, route: str, code: int, body: object = None, **path: str) -> object:
         """Sends a request; notes another status than expected, or an answer of another shape."""
         self.checks += 1
+        taken = self.spec["paths"][route][method.lower()].get("requestBody")
+        if code == 200 and body is not None and taken:
+            self.problems += [f"{method} {route}, request: {m}" for m in mismatches(body, taken["content"]["application/json"]["schema"], self.spec)]
         got, value = self._send(method, route.format(**path), body)
         if got != code:
             self.problems.append(f"{method} {route}: status {got} instead of {code}: {value}")
@@ -70,6 +73,11 @@ class Validator:
             time.sleep(0.1)
         return state or {}
 
+    def _rows(self, table: str) -> int:
+        query = self.expect("POST", "/query", 200, {"queryDefinition": {"tableName": table}})
+        self.finished(query)
+        return sum(part["rowCount"] for part in self.expect("GET", "/result/{queryId}", 200, queryId=query) or [])
+
     def run(self, csv_path: str | None = None) -> list[str]:
         """All checks; ``csv_path``: a file the server can read, of a number and a text in each row."""
         name = f"validate_{uuid.uuid4().hex}"
@@ -97,6 +105,10 @@ class Validator:
             if self.finished(done).get("status") != "COMPLETED":
                 self.problems.append(f"COPY failed: {self.expect('GET', '/error/{queryId}', 200, queryId=done)}")
             self.expect("GET", "/result/{queryId}", 400, queryId=done)
+            without = self._rows(name)
+            self.finished(self.expect("POST", "/query", 200, {"queryDefinition": copy | {"doesCsvContainHeader": True}}))
+            if self._rows(name) != 2 * without - 1:
+                self.problems.append("COPY: the header flag doesn't default to false, or true doesn't leave out the first record")
             bad = self.expect("POST", "/query", 200, {"queryDefinition": copy | {"destinationColumns": ["name", "id"]}})
             if self.finished(bad).get("status") == "FAILED":
                 self.expect("GET", "/error/{queryId}", 200, queryId=bad)

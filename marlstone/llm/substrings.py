@@ -11,8 +11,11 @@ much as a copy of the long window is sure to hold, so every level but the last h
 anchor. These levels use 64-bit hashes, where a collision costs a vain extension; the last level takes every
 window whose anchor survived and decides on 128 bits.
 
-Counting. Level 0 is a sum, combined before the shuffle. On later levels a window repeats if it has two
-places; places in texts that are equal throughout count as one. A task remembers the windows it has
+Counting. A window repeats if it has two places; places in texts that are equal throughout count as one.
+The windows of an anchor hold one another, so equal ones of level 1 lie where their level 0 was sent: one
+exchange, by the shortest window, serves both. Of a short window that a task meets often, in ever other
+surroundings, it sends ``OFTEN`` rows there and spreads the others; all rows of such a window are sent once
+more, by their window of level 1. A task remembers the windows it has
 met: it sends one row of a window when it meets it first and one when it meets it again, and settles all
 further ones itself, so a passage that a third of all documents hold makes a few rows for each task.
 What is settled travels as runs of places and takes no part in counts.
@@ -46,6 +49,8 @@ WINDOW = 35
 #: The shortest windows have at most so many words; shorter ones repeat by chance in any large corpus.
 BASE = 9
 SALTS = 16
+#: Rows of one shortest window that a task sends to one place.
+OFTEN = 32
 #: Bytes of texts that are counted together before the shuffle.
 SLICE = 4 << 20
 _ALPHABET = Alphabet(SPACE, lower=False)
@@ -129,6 +134,36 @@ class Seen:
         self.one, self.two, self.twice = one[order], two[order], twice[order]
 
 
+class Tally:
+    """How often a task has met each key; forgets all beyond ``Seen.LIMIT`` keys."""
+
+    def __init__(self):
+        self.keys, self.counts = np.zeros(0, U64), np.zeros(0, np.int64)
+
+    def before(self, keys: np.ndarray) -> np.ndarray:
+        """How many equal keys came before each of these, which count from now on."""
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        start = np.flatnonzero(_heads(keys[order]))
+        here, first = np.diff(np.r_[start, len(keys)]), keys[order][start]
+        at = np.searchsorted(self.keys, first)
+        known = np.flatnonzero(at < len(self.keys))
+        known = known[self.keys[at[known]] == first[known]]
+        met = np.zeros(len(first), np.int64)
+        met[known] = self.counts[at[known]]
+        out = np.empty(len(keys), np.int64)
+        out[order] = np.arange(len(keys)) + np.repeat(met - start, here)
+        self.counts[at[known]] += here[known]
+        new = np.ones(len(first), bool)
+        new[known] = False
+        if len(self.keys) + new.sum() > Seen.LIMIT:
+            self.__init__()
+            at = np.zeros(len(first), np.int64)
+        self.keys, self.counts = np.insert(self.keys, at[new], first[new]), np.insert(self.counts, at[new], here[new])
+        return out
+
+
 def _heads(*keys: np.ndarray) -> np.ndarray:
     """Which rows of sorted keys begin a group."""
     out = np.ones(len(keys[0]), bool)
@@ -195,11 +230,14 @@ def prints(rows: DataFrame) -> DataFrame:
 
 
 def anchors(rows: DataFrame, lengths: list[int]) -> DataFrame:
-    """f1, place, a hash for each level but the last, and settled (the task knows that the window repeats)."""
+    """f1, place, a hash for each level but the last, settled (the task knows that the window repeats) and often.
+
+    often: the task has met the shortest window ``OFTEN`` times; rows beyond these have a key of their own in its place.
+    """
     left = reach(lengths)
 
     def each(batches):
-        seen, firsts = Seen(), Seen()
+        seen, firsts, tally = Seen(), Seen(), Tally()
         for batch in batches:
             raw, offsets = buffers(batch.column("text"))
             for first, last in slices(offsets, SLICE):
@@ -220,26 +258,39 @@ def anchors(rows: DataFrame, lengths: list[int]) -> DataFrame:
                 firsts.add(longest[new], where[new], new[new])
                 weight, settled = _sent(longest, none, seen)
                 own = mix(longest ^ where)  # a key of its own where the task has sent the window's
-                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(at.astype(np.int32)), *(pa.array(np.where(weight == 0, own, h[keep]).view(np.int64)) for h in hashes), pa.array(settled)], names=names)
+                met = np.zeros(len(keep), np.int64)
+                met[weight > 0] = tally.before(hashes[0][keep][weight > 0]) + 1
+                apart = [(weight == 0) | (met > OFTEN), *[weight == 0] * (len(left) - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(f1), pa.array(at.astype(np.int32)), *(pa.array(np.where(a, own, h[keep]).view(np.int64)) for a, h in zip(apart, hashes, strict=True)), pa.array(settled), pa.array(met >= OFTEN)], names=names)
 
-    names = ["f1", "place", *(f"h{i}" for i in range(len(left))), "settled"]
-    kinds = ["bigint", "int", *["bigint"] * len(left), "boolean"]
+    names = ["f1", "place", *(f"h{i}" for i in range(len(left))), "settled", "often"]
+    kinds = ["bigint", "int", *["bigint"] * len(left), "boolean", "boolean"]
     return rows.select("text").mapInArrow(each, ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True)))
 
 
+def _repeated(live: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose window, equal in these columns, is known to repeat or has two places."""
+    group, place = Window.partitionBy(*keys), F.xxhash64("f1", "place")
+    return live.select("*", F.min(place).over(group).alias("least"), F.max(place).over(group).alias("most")).filter("settled or least < most").drop("least", "most")
+
+
 def candidates(rows: DataFrame, lengths: list[int]) -> DataFrame | None:
     """f1, places of the anchors whose windows repeat on every level but the last; None if there are none."""
-    live, levels = anchors(rows, lengths), len(lengths) - 1
-    alive = checkpointed(live.groupBy("h0").agg(F.count("*").alias("c"), F.max("settled").alias("s")).filter("c > 1 or s").select(F.col("h0").alias("h")))
-    if alive.isEmpty():
-        return None
-    live = live.join(alive, F.col("h0") == F.col("h"), "left_semi")
-    for i in range(1, levels):
-        group, place = Window.partitionBy(f"h{i}"), F.xxhash64("f1", "place")
-        live = live.withColumn("least", F.min(place).over(group)).withColumn("most", F.max(place).over(group))
-        live = checkpointed(live.filter("settled or least < most").drop("least", "most", f"h{i - 1}"))
+    levels = len(lengths) - 1
+    live = anchors(rows, lengths).repartition("h0").sortWithinPartitions(*(f"h{i}" for i in range(min(levels, 2))))
+    group, place = Window.partitionBy("h0"), F.xxhash64("f1", "place")
+    live = live.select("f1", "place", *(f"h{i}" for i in range(levels)), "settled", F.max("often").over(group).alias("often"), F.min(place).over(group).alias("least"), F.max(place).over(group).alias("most"))
+    live = live.filter("settled or often or least < most").drop("least", "most")
+    if levels > 1:
+        # equal windows of level 1 are all in one branch: the second has every row of a shortest window that any task met often
+        live = _repeated(live.filter("not often"), "h0", "h1").unionByName(_repeated(live.filter("often"), "h1"))
+    live = checkpointed(live.drop("often", "h0", "h1"))
+    for i in range(2, levels):
         if live.isEmpty():
             return None
+        live = checkpointed(_repeated(live, f"h{i}").drop(f"h{i}"))
+    if live.isEmpty():
+        return None
     return checkpointed(live.groupBy("f1").agg(F.collect_set("place").alias("places")))
 
 

@@ -2,9 +2,11 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from marlstone.llm import substrings
+from marlstone.llm.words import SPACE, Alphabet, Words, windows
 from tests.llm.helpers import WORD, frame, odd_texts
 
 
@@ -84,6 +86,78 @@ def test_common_phrases_and_hot_passage(spark):
     assert sorted(tuple(x) for x in substrings.dedup(frame(spark, texts).repartition(7)).collect()) == brute(texts, 35)
 
 
+def rows_shuffled(spark):
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    store = context.statusStore()
+    stages = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_anchors_are_shuffled_once(spark):
+    """One exchange serves the counts of the first two levels; a third is sent what these leave."""
+    r = random.Random(9)
+    words = lambda n: " ".join(f"v{r.randrange(9000)}" for _ in range(n))
+    shared = [words(30) for _ in range(40)]  # repeat on the levels of 9 and 18 words
+    df = frame(spark, [f"{words(80)} {r.choice(shared)} {words(80)}" for _ in range(120)])
+    rows, lengths = df.select(*substrings.row_keys(df["doc_id"], df["text"]), "text").repartition(4).localCheckpoint(), substrings.ladder(35)
+    n, before = substrings.anchors(rows, lengths).count(), rows_shuffled(spark)
+    found = substrings.candidates(rows, lengths)
+    places = found.selectExpr("sum(size(places))").first()[0]
+    sent = sum(x for k, x in rows_shuffled(spark).items() if k not in before)
+    assert n > 1000 and places > 100
+    assert n <= sent <= n + 120 + places
+
+
+def anchor_phrase(n):
+    """A phrase of n words whose hash is so small that it is an anchor in most surroundings."""
+    phrases = [" ".join(f"p{k}x{i}" for i in range(n)) for k in range(2000)]
+    return min(phrases, key=lambda t: windows(Words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), Alphabet(SPACE, lower=False)).hashes, n)[0])
+
+
+@pytest.mark.parametrize("window", [12, 35, 70])
+def test_short_windows_that_are_often(spark, monkeypatch, window):
+    monkeypatch.setattr(substrings, "OFTEN", 3)
+    r, lengths = random.Random(6), substrings.ladder(window)
+    words = lambda n: " ".join(f"v{r.randrange(9000)}" for _ in range(n))
+    phrase = anchor_phrase(lengths[0])
+    around = [(words(40), words(40)) for _ in range(25)]
+    texts = [f"{words(50)} {phrase} {words(50)}" for _ in range(60)]  # the phrase alone
+    texts += [f"{words(i % 5)} {a} {phrase} {b} {words(i % 3)}" for i, (a, b) in enumerate(around * 2)]  # and what is around it
+    texts += [f"{words(9)} {a} {phrase} {words(50)}" for a, _ in around[:9]]
+    r.shuffle(texts)
+    df = frame(spark, texts).repartition(5).localCheckpoint()
+    out = substrings.anchors(df, lengths).collect()
+    # with one level but the last, a task knows that the window repeats once it has met it twice
+    assert sum(x["often"] for x in out) > 40 if len(lengths) > 2 else sum(x["settled"] for x in out) > 40
+    assert sorted(tuple(x) for x in substrings.dedup(df, window).collect()) == brute(texts, window)
+
+
+def test_task_sends_few_rows_of_a_window_to_one_place(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "OFTEN", 3)
+    monkeypatch.setattr(substrings, "slices", lambda offsets, limit: ((i, min(i + 2, len(offsets) - 1)) for i in range(0, len(offsets) - 1, 2)))
+    texts = [" ".join(f"a{k}x{i}" for i in range(30)) + f" {anchor_phrase(9)} " + " ".join(f"b{k}x{i}" for i in range(30)) for k in range(40)]
+    out = substrings.anchors(frame(spark, texts).coalesce(1), [9, 18, 35]).collect()
+    alike = Counter(x["h0"] for x in out)
+    assert max(alike.values()) == 3 and len({x["h1"] for x in out}) == len(out)
+    assert sum(x["often"] for x in out) > 30 and sum(x["often"] and alike[x["h0"]] == 3 for x in out) == 1
+
+
+def test_tally(monkeypatch):
+    r, tally, met = random.Random(4), substrings.Tally(), Counter()
+    for _ in range(30):
+        keys = [r.randrange(1 << 64) if r.random() < 0.2 else r.randrange(12) for _ in range(r.randrange(20))]
+        want = []
+        for k in keys:
+            want.append(met[k])
+            met[k] += 1
+        assert tally.before(np.array(keys, np.uint64)).tolist() == want
+    monkeypatch.setattr(substrings.Seen, "LIMIT", 4)
+    for _ in range(30):
+        out = tally.before(np.array([r.randrange(9) for _ in range(3)], np.uint64))
+        assert len(tally.keys) <= 4 and len(out) == 3 and (np.diff(tally.keys.astype(float)) > 0).all()
+
+
 def test_repeated_and_null_ids(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (1, "x y z"), (None, "q r s t"), (None, "u q r s t"), (2, None), (-(2**63), "k l m n"), (None, "k l m o")]
     got = substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()

@@ -15,7 +15,7 @@ from marlstone.plans.engine import Engine
 from marlstone.sources import storage, tables
 from marlstone.sources.catalog import Catalog
 from marlstone.sources.fs import Files, scratch
-from marlstone.types import INT64, ROW, VARCHAR, Column, project_supported
+from marlstone.types import INT64, ROW, VARCHAR, Column, project_supported, quoted
 
 Query = Callable[[SparkSession, str], DataFrame]
 BATCH = storage.BATCH
@@ -36,10 +36,18 @@ def _stored(spark: SparkSession, sf_dir: str, name: str) -> tuple[Catalog, str]:
 
 
 def _csv(spark: SparkSession, df: DataFrame, header: bool = False) -> str:
-    """``df`` as one CSV file."""
-    folder = scratch(spark)
-    df.coalesce(1).write.mode("overwrite").options(escape='"', quoteAll="true", header=header).csv(folder)
-    return next(f"{folder}/{n}" for n in Files(spark).names(folder) if n.startswith("part-"))
+    """``df`` as one CSV file: values in quotes, as they are; a null is an empty field without quotes.
+
+    Lines are made here, since Spark's writer trims texts. Tasks write parts; the driver joins their bytes.
+    """
+    folder, files = scratch(spark), Files(spark)
+    fields = [F.coalesce(F.concat(F.lit('"'), F.replace(F.col(quoted(c)).cast("string"), F.lit('"'), F.lit('""')), F.lit('"')), F.lit("")) for c in df.columns]
+    df.select(F.concat_ws(",", *fields).alias("value")).write.text(f"{folder}/parts")
+    names = sorted((n for n in files.names(f"{folder}/parts") if n.startswith("part-")), key=lambda n: (len(n), n))
+    head = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns) + "\n" if header else ""
+    files.join(f"{folder}/table.csv", [f"{folder}/parts/{n}" for n in names], head.encode())
+    files.delete(f"{folder}/parts")
+    return f"{folder}/table.csv"
 
 
 ORDERS = [Column("o_orderkey", INT64), Column("o_custkey", INT64), Column("o_orderstatus", VARCHAR), Column("o_orderpriority", VARCHAR)]
@@ -65,7 +73,7 @@ def copy_csv_roundtrip(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     catalog = Catalog(spark, scratch(spark))
     table = catalog.create("documents", [Column("doc_id", INT64), Column("text", VARCHAR), Column("lang", VARCHAR)])
-    tables.copy_csv(spark, catalog, table, _csv(spark, docs, header=True), header=True)
+    tables.copy_csv(spark, catalog, table, _csv(spark, docs, header=True), header=True, nulls=True)
     return tables.scan(spark, catalog.snapshot(table))
 
 
@@ -75,7 +83,7 @@ def multi_copy_append(spark, sf_dir):
     catalog = Catalog(spark, scratch(spark))
     table = catalog.create("orders", ORDERS)
     for _ in range(2):
-        tables.copy_csv(spark, catalog, table, path)
+        tables.copy_csv(spark, catalog, table, path, nulls=True)
     return tables.scan(spark, catalog.snapshot(table), ordered=True)
 
 
@@ -84,7 +92,7 @@ def copy_column_subset(spark, sf_dir):
     path = _csv(spark, _table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderkey"))
     catalog = Catalog(spark, scratch(spark))
     table = catalog.create("orders", ORDERS)
-    tables.copy_csv(spark, catalog, table, path, ["o_orderstatus", "o_orderkey"])
+    tables.copy_csv(spark, catalog, table, path, ["o_orderstatus", "o_orderkey"], nulls=True)
     return tables.scan(spark, catalog.snapshot(table))
 
 
@@ -93,7 +101,7 @@ def copy_extra_fields(spark, sf_dir):
     path = _csv(spark, _table(spark, sf_dir, "orders"))
     catalog = Catalog(spark, scratch(spark))
     table = catalog.create("orders", ORDERS[:2])
-    tables.copy_csv(spark, catalog, table, path)
+    tables.copy_csv(spark, catalog, table, path, nulls=True)
     return tables.scan(spark, catalog.snapshot(table))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import codecs
 import csv
 import re
+import uuid
 from collections.abc import Iterator
 
 from py4j.protocol import Py4JJavaError
@@ -49,21 +50,24 @@ def _unquoted(spark: SparkSession, path: str) -> bool:
     return spark.read.text(path).filter(F.col("value").contains('"')).isEmpty()
 
 
-def read(spark: SparkSession, path: str, columns: list[Column], header: bool = False) -> DataFrame:
-    """Rows of the file as ``columns`` and ROW; raises CsvError for the first bad cell or record."""
+def read(spark: SparkSession, path: str, columns: list[Column], header: bool = False, nulls: bool = False) -> DataFrame:
+    """Rows of the file as ``columns`` and ROW; raises CsvError for the first bad cell or record.
+
+    An empty field is an empty text and no number; with ``nulls`` one without quotes is a null.
+    """
     k = width(Files(spark), path)
     kinds = StructType([StructField(c.name, StringType()) for c in columns])
     if k is None:
         return _typed(spark.createDataFrame([], kinds).withColumn(ROW, F.lit(0).cast("bigint")), columns)
     raw_schema = StructType([StructField(f"_c{i}", StringType()) for i in range(k)])
-    raw = spark.read.options(escape='"', multiLine=not _unquoted(spark, path), mode="FAILFAST", header=header, enforceSchema=True).schema(raw_schema).csv(path)
+    raw = spark.read.options(escape='"', multiLine=not _unquoted(spark, path), mode="FAILFAST", nullValue=uuid.uuid4().hex if nulls else "", header=header, enforceSchema=True).schema(raw_schema).csv(path)
     if k < len(columns):
         if not _reading(raw.isEmpty):
             raise CsvError(f"Row {2 if header else 1}: expected {len(columns)} columns, but found {k} columns")
         return _typed(spark.createDataFrame([], kinds).withColumn(ROW, F.lit(0).cast("bigint")), columns)
     rows = raw.withColumn(ROW, F.monotonically_increasing_id()).select(*[F.col(f"_c{i}").alias(c.name) for i, c in enumerate(columns)], ROW)
-    _check(rows, columns, header)
-    return _typed(rows, columns)
+    _check(rows, columns, header, nulls)
+    return _typed(rows, columns, nulls)
 
 
 def _reading(action):
@@ -79,10 +83,10 @@ def _number(name: str):
     return F.expr(f"try_cast(trim({quoted(name)}) as bigint)")
 
 
-def _check(rows: DataFrame, columns: list[Column], header: bool) -> None:
+def _check(rows: DataFrame, columns: list[Column], header: bool, nulls: bool) -> None:
     """One aggregate over all cells: the first that isn't a number where one is due."""
     bad = [
-        F.when(_number(c.name).isNull(), F.struct(F.col(ROW).alias("row"), F.lit(i).alias("col"), F.coalesce(F.col(quoted(c.name)), F.lit("")).alias("value")))
+        F.when(_number(c.name).isNull() & (F.col(quoted(c.name)).isNotNull() if nulls else F.lit(True)), F.struct(F.col(ROW).alias("row"), F.lit(i).alias("col"), F.coalesce(F.col(quoted(c.name)), F.lit("")).alias("value")))
         for i, c in enumerate(columns)
         if c.type == INT64
     ]
@@ -100,7 +104,7 @@ def _check(rows: DataFrame, columns: list[Column], header: bool) -> None:
     raise CsvError(f"Row {line}, column '{name}': failed to parse '{worst['value']}' as INT64")
 
 
-def _typed(rows: DataFrame, columns: list[Column]) -> DataFrame:
+def _typed(rows: DataFrame, columns: list[Column], nulls: bool = False) -> DataFrame:
     """Numbers parsed; an empty text is a text, not a null."""
-    out = [(_number(c.name) if c.type == INT64 else F.coalesce(F.col(quoted(c.name)), F.lit(""))).alias(c.name) for c in columns]
+    out = [(_number(c.name) if c.type == INT64 else F.col(quoted(c.name)) if nulls else F.coalesce(F.col(quoted(c.name)), F.lit(""))).alias(c.name) for c in columns]
     return rows.select(*out, ROW)

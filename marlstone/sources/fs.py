@@ -51,6 +51,22 @@ class Files:
     def read(self, path: str) -> bytes:
         return b"".join(self.chunks(path, 1 << 20))
 
+    def join(self, path: str, parts: list[str], head: bytes = b"") -> None:
+        """A new file of ``head`` and the bytes of ``parts``, copied a megabyte at a time."""
+        fs, p = self._at(path)
+        out = fs.create(p, False)
+        try:
+            out.write(bytearray(head))
+            for part in parts:
+                source, q = self._at(part)
+                stream = source.open(q)
+                try:
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 1 << 20, False)
+                finally:
+                    stream.close()
+        finally:
+            out.close()
+
     def replace(self, path: str, data: bytes) -> None:
         """Writes a file whole: under another name first, then renamed over the old one."""
         draft = f"{path}.{uuid.uuid4().hex}"

@@ -43,10 +43,10 @@ def _commit(catalog: Catalog, table_id: str, rows: DataFrame, batch: int) -> Non
         raise
 
 
-def copy_csv(spark: SparkSession, catalog: Catalog, table_id: str, path: str, names: list[str] | None = None, header: bool = False, batch: int = storage.BATCH) -> None:
-    """Appends a CSV file to a table: all rows or none."""
+def copy_csv(spark: SparkSession, catalog: Catalog, table_id: str, path: str, names: list[str] | None = None, header: bool = False, batch: int = storage.BATCH, nulls: bool = False) -> None:
+    """Appends a CSV file to a table: all rows or none. ``nulls``: an empty field without quotes is a null."""
     columns = target_columns(catalog.get(table_id).columns, names)
-    _commit(catalog, table_id, csv.read(spark, path, columns, header), batch)
+    _commit(catalog, table_id, csv.read(spark, path, columns, header, nulls), batch)
 
 
 def append(catalog: Catalog, table_id: str, df: DataFrame, batch: int = storage.BATCH) -> None:

@@ -48,6 +48,19 @@ class Files:
         finally:
             stream.close()
 
+    def part(self, path: str, start: int, end: int) -> bytes:
+        """Bytes from ``start`` up to ``end``."""
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            stream.seek(start)
+            out = bytearray()
+            while len(out) < end - start and (data := bytes(stream.readNBytes(min(end - start - len(out), 1 << 20)))):
+                out += data
+            return bytes(out)
+        finally:
+            stream.close()
+
     def read(self, path: str) -> bytes:
         return b"".join(self.chunks(path, 1 << 20))
 

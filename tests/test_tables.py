@@ -195,3 +195,64 @@ def test_sizes_of_written_batches(spark, tmp_path):
     assert all(0 < r["compressed_size"] for r in got)
     storage.write(df.limit(0), str(tmp_path / "e"))
     assert storage.row_groups(spark, str(tmp_path / "e")).count() == 0
+
+
+def test_quoted_files_are_split(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv, "SPLIT", 1000)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        for end in ("", "\n"):  # with and without line ends in quotes
+            path = write(tmp_path, "".join(f'"{i}","name{end} {i}"\n' for i in range(500)))
+            df = csv.read(spark, path, ID_NAME)
+            assert df.rdd.getNumPartitions() >= 8
+            assert [tuple(r) for r in df.orderBy(ROW).drop(ROW).collect()] == [(i, f"name{end} {i}") for i in range(500)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+SPLIT_TEXTS = [
+    'a,"b\n\n\n1,2\n3,4\n"\nc,d\n',
+    '"a ""x"" \n","b\r\n\r c"\r\n\r\n\n5,6\re","f\r"g\n"h\n,",\n',
+    'x"y,z"\n"q"r,"s\nt"\nu"",","\n" "," "\n',
+    '"","\n"\n,\n"""",""""""\n"\n""\n",""\n',
+    'last,"without\nend"',
+    'id,"na\nme' + "\nlong" * 40 + '"\n1,"x\ny"\n2,z\n',
+    "﻿\"bom\n\",1\nä€😀,\"ö\nü\"\n",
+]
+
+
+@pytest.mark.parametrize("size", [5, 40])
+@pytest.mark.parametrize("text", SPLIT_TEXTS)
+def test_splits_cut_no_record(spark, tmp_path, monkeypatch, text, size):
+    import csv as plain
+    import io
+
+    monkeypatch.setattr(csv, "SPLIT", size)
+    rows = [tuple(r) for r in plain.reader(io.StringIO(text.removeprefix("﻿"), newline="")) if r]
+    columns = [Column("a", VARCHAR), Column("b", VARCHAR)]
+    path = write(tmp_path, text)
+    for header in (False, True):
+        got = [tuple(r) for r in csv.read(spark, path, columns, header).orderBy(ROW).drop(ROW).collect()]
+        assert got == rows[header:]
+
+
+def test_splits_report_errors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv, "SPLIT", 10)
+    with pytest.raises(csv.CsvError, match="Row 4, column 'id': failed to parse 'x'"):
+        csv.read(spark, write(tmp_path, 'id,name\n1,"a\nb"\n2,"c\nd"\nx,"e\nf"\n'), ID_NAME, True)
+    with pytest.raises(csv.CsvError, match="Failed to read CSV record"):
+        csv.read(spark, write(tmp_path, '1,"a\nb"\n2,"c\nd",3\n'), ID_NAME)
+
+
+@pytest.mark.parametrize("text,want", [
+    ('1,2\n"a","b"\n"a""b",""\n,"x,y"\n', True),
+    ('"a\nb",c\n', False), ('a"b,"c\nd"\n', False), ('x"","\n",y\n', False), ('"a\rb",c\n', False), ('"a""\n"",b"\n', False),
+])
+def test_lines_that_are_records(spark, tmp_path, text, want):
+    assert csv._by_lines(spark, write(tmp_path, text)) is want
+
+
+def test_first_field_longer_than_python_allows(spark, catalog, tmp_path):
+    long = "x" * 200_000
+    assert load(spark, catalog, tmp_path, ID_NAME, f'1,"{long}\n"\n2,b\n') == [(1, long + "\n"), (2, "b")]

@@ -11,6 +11,10 @@ from marlstone.functions import chars, codec
 from marlstone.types import INT64, VARCHAR, quoted, split
 
 
+#: Bytes counted at once: NumPy widens each to eight.
+PIECE = 1 << 18
+
+
 def exact_sum(name: str) -> Column:
     return F.sum(F.col(quoted(name)).cast("decimal(38,0)"))
 
@@ -49,7 +53,8 @@ def byte_counts(df: DataFrame) -> DataFrame:
                 _, offsets, data = column.buffers()
                 if data is not None and len(column):
                     off = np.frombuffer(offsets, np.int32 if pa.types.is_string(column.type) else np.int64, len(column) + 1, column.offset * (4 if pa.types.is_string(column.type) else 8))
-                    total[i] += np.bincount(np.frombuffer(data, np.uint8)[off[0] : off[-1]], minlength=256)
+                    for at in range(off[0], off[-1], PIECE):
+                        total[i] += np.bincount(np.frombuffer(data, np.uint8)[at : min(at + PIECE, off[-1])], minlength=256)
         i, c = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(c, pa.int32()), pa.array(total[i, c], pa.int64())], names=["i", "byte", "n"])
 

@@ -19,9 +19,14 @@ from marlstone.types import INT64, ROW, VARCHAR, Column, project_supported, quot
 
 Query = Callable[[SparkSession, str], DataFrame]
 BATCH = storage.BATCH
+#: Limits of an Arrow batch, in rows and bytes, where the user has set none: a Python worker holds two batches at a time.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    for key, value in ARROW.items():
+        if (spark.conf.get(key, "1"), spark.conf.get(key, "2")) == ("1", "2"):
+            spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

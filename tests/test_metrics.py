@@ -88,3 +88,23 @@ def test_large_fixture(spark):
     df = fixtures.large(spark, 10_000)
     assert by_name(metrics.int_averages(df))["value"]["avg_value"] == 499.5
     assert profile.value_frequency(df, "category").count() == 10
+
+
+def test_bytes_are_counted_in_little_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    frame, seen = type(spark.range(1)), []
+    apply = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, f, schema: (seen.append(f), apply(df, f, schema))[1])
+    metrics.byte_counts(spark.createDataFrame([("a",)], "t string"))
+    batch = pa.RecordBatch.from_arrays([pa.array(["ab" * (1 << 20), None, "b" * 1000] * 8).slice(1)], names=["t"])
+    tracemalloc.start()
+    try:
+        (out,) = seen[0]([batch])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {r["byte"]: r["n"] for r in out.to_pylist()} == {97: 7 << 20, 98: (7 << 20) + 8000}
+    assert peak < 4 << 20

@@ -39,3 +39,18 @@ def test_nulls_of_orders_survive_csv(spark, tmp_path):
     for name, want in (("multi_copy_append", rows * 2), ("copy_extra_fields", [r[:2] for r in rows]), ("copy_column_subset", [(r[0], None, r[2], None) for r in rows])):
         got = [tuple(r) for r in core.QUERIES[name](spark, str(tmp_path)).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_quoted_loads_are_parallel_and_in_order(spark, tmp_path):
+    key, rows = "spark.sql.files.maxPartitionBytes", [(i, i + 7, "O", f"{i % 5}-x, y") for i in range(400)]
+    before = spark.conf.get(key)
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string").repartition(4).sortWithinPartitions("o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set(key, "2000")
+    try:
+        got = core.multi_copy_append(spark, str(tmp_path))
+        ids = [r[0] for r in got.collect()]
+        assert ids[:400] == ids[400:] and sorted(ids[:400]) == list(range(400))
+        parts = [f for f in got.inputFiles() if "part-" in f]
+        assert len(parts) >= 8  # several tasks wrote each load
+    finally:
+        spark.conf.set(key, before)
